@@ -9,20 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, barrier: bool = False) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over."""
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """As in_arrow, with a function of one batch; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema, barrier)
+    return in_arrow(df, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
         held = sc._jsc.sc().getCheckpointDir()
-        told = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", told)
+        if not held.isDefined():
+            sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+            held = sc._jsc.sc().getCheckpointDir()
+        told = held.get()
     return told.rstrip("/")
 
 

@@ -21,8 +21,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.token_files import token_round_trip
+
+    return token_round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), alphabet=49408, end_id=1, kind="word")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), length=2048, end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
+    "op8_token_files": op8_token_files,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

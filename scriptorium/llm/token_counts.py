@@ -254,7 +254,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 512, key: str = "d
     def run(batch: pa.RecordBatch):
         raw, offsets = tk.utf8(batch.column(1))
         n = np.zeros(batch.num_rows, np.int64)
-        for a, b, _, sizes in counter(vocabulary).rows(raw, offsets, want_ids=False):
+        for a, b, _, sizes, _ in counter(vocabulary).rows(raw, offsets, want_ids=False):
             n[a:b] += sizes
         yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["key", "n_bytes", "n_tokens", "over_limit"])
 

@@ -186,8 +186,8 @@ class PieceEncoder:
             lo += max(len(x) - 1, 1)
         return hi
 
-    def rows(self, raw: np.ndarray, offsets: np.ndarray, want_ids: bool = True) -> Iterator[tuple[int, int, np.ndarray | None, np.ndarray]]:
-        """(first row, next row, ids, ids per row), in order of the rows.
+    def rows(self, raw: np.ndarray, offsets: np.ndarray, want_ids: bool = True) -> Iterator[tuple[int, int, np.ndarray | None, np.ndarray, bool]]:
+        """(first row, next row, ids, ids per row, whether the rows end here), in order of the rows.
 
         A row longer than a slice comes in several parts, each as rows (a, a + 1).
         """
@@ -197,10 +197,18 @@ class PieceEncoder:
                 if hi - lo > 2 * tk.SLICE_BYTES and not self._special(raw[lo:hi]):
                     while lo < hi:
                         cut = self._safe_cut(raw, lo + tk.SLICE_BYTES, hi) if hi - lo > tk.SLICE_BYTES else hi
-                        yield a, b, *self._slice(raw[lo:cut], np.array([0, cut - lo]), want_ids)
+                        yield a, b, *self._slice(raw[lo:cut], np.array([0, cut - lo]), want_ids), cut == hi
                         lo = cut
                 else:
-                    yield a, b, *self._slice(raw[lo:hi], offsets[a : b + 1] - lo, want_ids)
+                    yield a, b, *self._slice(raw[lo:hi], offsets[a : b + 1] - lo, want_ids), True
+
+    def rows_ended(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        """As rows(), with an end id after each row."""
+        for a, b, ids, sizes, done in self.rows(raw, offsets):
+            if done:
+                ids = np.insert(ids, np.cumsum(sizes), end)
+                sizes = sizes + 1
+            yield a, b, ids.astype(np.uint32, copy=False), sizes, done
 
     def _special(self, raw: np.ndarray) -> bool:
         data = raw.tobytes()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.frames import table
+from scriptorium.llm.secret_scan import oracle as secret_oracle
 
 
 def _vocabulary(name: str) -> str:
@@ -15,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.token_counts import count_tokens
 
@@ -34,9 +41,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op8_token_files": op8_token_files,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": secret_oracle(),
+}

@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.secret_scan import secret_report
 
@@ -41,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op8_token_files": op8_token_files,

@@ -28,6 +28,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.toxicity import toxicity
 
@@ -55,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_neighbours": op3_neighbours,
     "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_token_files": op8_token_files,

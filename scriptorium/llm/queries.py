@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm.chat_format import oracle as chat_oracle
 from scriptorium.llm.frames import table
+from scriptorium.llm.license_scan import oracle as license_oracle
 from scriptorium.llm.secret_scan import oracle as secret_oracle
 
 
@@ -40,6 +42,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.token_counts import count_tokens
 
@@ -52,6 +60,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), alphabet=49408, end_id=1, kind="word")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.chat_format import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.packing import pack
 
@@ -63,11 +77,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_neighbours": op3_neighbours,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op8_token_files": op8_token_files,
+    "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secret_oracle(),
+    "op5_license_scan": license_oracle(),
+    "op9_chat_format": chat_oracle(),
 }

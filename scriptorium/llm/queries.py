@@ -54,6 +54,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.token_files import token_round_trip
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,

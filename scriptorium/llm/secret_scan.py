@@ -227,8 +227,11 @@ def secret_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return out.select(key, *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"), F.size(spans).cast("bigint").alias("n_spans"))
 
 
-def redact(df: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with each secret (overlapping spans as one) replaced by `mask`; rows without any stay as they are."""
+def redact(df: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
+    """df with each secret (overlapping spans as one) replaced by `mask`; rows without any stay as they are.
+
+    size: a column that gets the new length of a text that was changed.
+    """
     body = F.col(text)
 
     def step(acc: Column, s: Column) -> Column:
@@ -238,7 +241,10 @@ def redact(df: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: str
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(F.col("secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
-    return find_secrets(df, RULES, key, text).withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(body)).drop("secret_spans")
+    out = find_secrets(df, RULES, key, text).withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(body))
+    if size:
+        out = out.withColumn(size, F.when(F.size("secret_spans") > 0, F.char_length(text).cast(df.schema[size].dataType)).otherwise(F.col(size)))
+    return out.drop("secret_spans")
 
 
 # ---- the same in SQL -------------------------------------------------------

@@ -1,0 +1,3 @@
+"""Queries over the tables, by theme; importing this package registers them all."""
+
+from scriptorium.plans import retrieval  # noqa: F401

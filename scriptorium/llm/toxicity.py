@@ -31,8 +31,11 @@ from scriptorium.llm.frames import in_arrow, map_arrow, materialise
 MOST_TRAINING = 10_000
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
-#: A term enters a lexicon with this log-likelihood ratio and precision; the classifier with a lower ratio.
-LEXICON_RATIO, LEXICON_PRECISION, FEATURE_RATIO = 24.0, 0.6, 10.0
+#: A term enters a lexicon with this log-likelihood ratio and precision, and the classifier with these: rarer terms,
+#: and common words of a class' language, would add up to nonsense in long texts.
+LEXICON_RATIO, LEXICON_PRECISION, FEATURE_RATIO, FEATURE_PRECISION = 24.0, 0.8, 20.0, 0.8
+#: A beginning of which one word makes up more than this share is no term.
+MOST_OF_ONE = 0.7
 
 # Seed lexicons, common insults of four languages
 SEEDS = {
@@ -56,8 +59,11 @@ def _salt(kind: int) -> np.uint64:
     return np.uint64((0x51ED270B * (kind + 1)) & 0xFFFFFFFF)
 
 
-def _terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-    """(first row, next row, terms, rows, whether the rows end): hashes of words and their beginnings, kinds told apart, and of patterns."""
+def _terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool, np.ndarray]]:
+    """(first row, next row, terms, rows, whether the rows end, pairs): hashes of words and their beginnings, kinds told apart, and of patterns.
+
+    pairs: rows (row, beginning, word) of words and their beginnings.
+    """
     for a, b in tk.row_slices(offsets):
         pieces = list(tk.word_chunks(raw, offsets, a, b))
         for i, (r, o) in enumerate(pieces):
@@ -75,10 +81,12 @@ def _terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
             h = tk.prefix_hash(low)
             row = np.searchsorted(starts, begin, "right") - 1
             parts, rows = [tk.segment_hash(h, begin, end) ^ _salt(0)], [row]
+            pairs = [np.zeros((0, 3), np.uint64)]
             for k in BEGINNINGS:
                 ok = end - begin >= k
                 parts.append(tk.segment_hash(h, begin[ok], begin[ok] + k) ^ _salt(k))
                 rows.append(row[ok])
+                pairs.append(np.stack([row[ok].astype(np.uint64), parts[-1], parts[0][ok]], 1))
             n = len(o) - 1
             at = np.searchsorted(starts, np.arange(len(cp)), "right") - 1 if n > 1 else np.zeros(len(cp), np.int64)
             letters = np.bincount(at[letter], minlength=n)
@@ -89,7 +97,7 @@ def _terms(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
                 which = np.flatnonzero(hit & (letters > 0))
                 parts.append(np.full(len(which), k + 1, np.uint64))
                 rows.append(which)
-            yield a, b, np.concatenate(parts), np.concatenate(rows), i == len(pieces) - 1
+            yield a, b, np.concatenate(parts), np.concatenate(rows), i == len(pieces) - 1, np.concatenate(pairs)
 
 
 def _distinct(terms: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,17 +120,20 @@ def _ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float)
     return np.where(toxic > n * share, g, -g)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, anchor: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, chance of a right vote per voter, weight per voter) of votes in {-1, 0, 1} [documents, voters].
 
-    start: first posterior.  Voters that agree beyond what the classes explain
-    are down-weighted by the sum of their residual correlations.
+    start: first posterior; a share `anchor` of it stays in each estimate, which
+    keeps the classes from drifting where few voters speak.  Voters that agree
+    beyond what the classes explain are down-weighted by the sum of their
+    residual correlations.
     """
     n, m = votes.shape
     q, weight = start.astype(float), np.ones(m)
     cast = votes != 0
     right = np.full(m, 0.5)
     for step in range(rounds):
+        q = (1 - anchor) * q + anchor * start
         prior = np.clip(q.mean(), 0.001, 0.999)
         log_odds = np.full(n, np.log(prior / (1 - prior)))
         mean = np.empty((2, m))
@@ -135,7 +146,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
         q = 1 / (1 + np.exp(-np.clip(log_odds, -40, 40)))
         if step == rounds // 2:
             rest = np.where(cast, (votes > 0) - (q[:, None] * mean[1] + (1 - q[:, None]) * mean[0]), 0.0)
-            size = np.sqrt((rest * rest).sum(0)) + 1e-9
+            size = np.sqrt((rest * rest).sum(0) + 0.01 * n)
             tied = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
             np.fill_diagonal(tied, 0)
             weight = 1 / (1 + np.where(tied > 0.2, tied, 0).sum(1))
@@ -158,8 +169,22 @@ def _logistic(row: np.ndarray, col: np.ndarray, n: int, width: int, target: np.n
     return w, bias
 
 
-def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray) -> dict:
-    """The classifier from training documents' distinct terms, labels (0 or 1) and halves (0 or 1)."""
+def _inflected(pairs: np.ndarray) -> np.ndarray:
+    """Beginnings that stand for several words: of at least three, none in more than MOST_OF_ONE of the documents; pairs (beginning, word), once a document."""
+    if not len(pairs):
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    b, w = pairs[order, 0], pairs[order, 1]
+    head = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (w[1:] != w[:-1])]))
+    count = np.diff(np.append(head, len(b)))
+    of = b[head]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    kinds = np.diff(np.append(first, len(of)))
+    return of[first][(kinds >= 3) & (np.maximum.reduceat(count, first) <= MOST_OF_ONE * np.add.reduceat(count, first))]
+
+
+def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray, pairs: np.ndarray) -> dict:
+    """The classifier from training documents' distinct terms, labels (0 or 1) and halves (0 or 1); pairs: see _inflected, of the documents of label 1."""
     n = len(terms)
     sizes = np.array([len(t) for t in terms], np.int64)
     row = np.repeat(np.arange(n), sizes)
@@ -168,6 +193,8 @@ def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray) -> dict:
     if not n or label.min() == label.max():
         share = float(label.mean()) if n else 0.0
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 4.0 if share > 0.5 else -4.0, "right": np.zeros(0), "training": n}
+    # a beginning that one word makes up would only catch other words by accident
+    whole = ~np.isin(vocabulary, pairs[:, 0]) | np.isin(vocabulary, _inflected(pairs))
     count = lambda pick: np.bincount(col[pick[row]], minlength=width).astype(float)
     votes = []
 
@@ -179,7 +206,7 @@ def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray) -> dict:
     for half in (0, 1):
         toxic, clean = count((label == 1) & (fold == half)), count((label == 0) & (fold == half))
         g = _ratio(toxic, clean, ((label == 1) & (fold == half)).sum(), ((label == 0) & (fold == half)).sum())
-        lexicon = (g >= LEXICON_RATIO) & (toxic >= LEXICON_PRECISION * (toxic + clean))
+        lexicon = whole & (g >= LEXICON_RATIO) & (toxic >= LEXICON_PRECISION * (toxic + clean))
         for band in (0, 1):  # frequent and rare terms vote apart
             often = toxic + clean >= 4 * LEXICON_RATIO
             hit = presence(lexicon & (often if band else ~often))
@@ -195,7 +222,7 @@ def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray) -> dict:
     q, right, weight = label_model(np.stack(votes, 1), np.where(label == 1, 0.9, 0.1))
     toxic, clean = count(q >= 0.5), count(q < 0.5)
     g = _ratio(toxic, clean, (q >= 0.5).sum(), (q < 0.5).sum())
-    chosen = (np.abs(g) >= FEATURE_RATIO) & (toxic + clean >= 3)
+    chosen = whole & (g >= FEATURE_RATIO) & (toxic >= FEATURE_PRECISION * (toxic + clean))
     place = np.cumsum(chosen) - 1
     use = chosen[col]
     w, bias = _logistic(row[use], place[col[use]], n, int(chosen.sum()), q)
@@ -220,27 +247,33 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     def extract(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offsets = tk.utf8(batch.column(2))
         held: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-        for a, b, terms, row, _ in _terms(raw, offsets):
+        toxic, pairs = np.array(batch.column(1).to_pylist()) == 1, [b""] * batch.num_rows
+        for a, b, terms, row, _, three in _terms(raw, offsets):
+            three = np.unique(three[toxic[a:b][three[:, 0].astype(np.int64)]], axis=0)
+            ends = np.searchsorted(three[:, 0], np.arange(b - a + 1))
+            for k in np.flatnonzero(toxic[a:b]):
+                pairs[a + k] += three[ends[k] : ends[k + 1], 1:].tobytes()
             terms, row = _distinct(terms, row)
             upto = np.searchsorted(row, np.arange(b - a + 1))
             for k in range(b - a):
                 held[a + k].append(terms[upto[k] : upto[k + 1]])
         blobs = [(np.unique(np.concatenate(x)) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint64)).tobytes() for x in held]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["id", "y", "terms"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(pairs, pa.binary())], names=["id", "y", "terms", "pairs"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ys, terms = [], [], []
+        ids, ys, terms, pairs = [], [], [], [np.zeros((0, 2), np.uint64)]
         for batch in batches:
+            pairs += [np.unique(np.frombuffer(x, np.uint64).reshape(-1, 2), axis=0) for x in batch.column(3).to_pylist() if x]
             ids += batch.column(0).to_pylist()
             ys += batch.column(1).to_pylist()
             terms += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], len(terms[k])))
         ids = np.array(ids, np.int64)[order] if ids else np.zeros(0, np.int64)
         fold = (tk.mix(ids.astype(np.uint64)) & np.uint64(1)).astype(int)
-        m = fit([terms[k] for k in order], np.array(ys, int)[order] if ys else np.zeros(0, int), fold)
+        m = fit([terms[k] for k in order], np.array(ys, int)[order] if ys else np.zeros(0, int), fold, np.concatenate(pairs))
         yield pa.record_batch([pa.array([m["keys"].tobytes()]), pa.array([m["weights"].astype("<f8").tobytes()]), pa.array([float(m["bias"])]), pa.array([m["right"].astype("<f8").tobytes()]), pa.array([m["training"]])], names=["keys", "weights", "bias", "right", "training"])
 
-    gathered = map_arrow(rows, extract, "id bigint, y int, terms binary").repartition(1)
+    gathered = map_arrow(rows, extract, "id bigint, y int, terms binary, pairs binary").repartition(1)
     got = in_arrow(gathered, learn, "keys binary, weights binary, bias double, right binary, training bigint").collect()
     if not got:
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -4.0, "right": np.zeros(0), "training": 0}
@@ -259,7 +292,7 @@ def scored(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
         raw, offsets = tk.utf8(batch.column(batch.num_columns - 1))
         z = np.full(batch.num_rows, bias)
         open_: list[np.ndarray] = []
-        for a, b, terms, row, done in _terms(raw, offsets):
+        for a, b, terms, row, done, _ in _terms(raw, offsets):
             hit = table.find(terms)
             found = hit >= 0
             if not done or open_:  # a long text comes in parts, but a term counts once

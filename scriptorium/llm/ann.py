@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from scriptorium.llm.frames import in_arrow, materialise
 
 #: Random directions; collisions that make a candidate; vectors of a block (fewer than 2**16) and queries of a block, about.
-PROJECTIONS, THRESHOLD = 192, 105
+PROJECTIONS, THRESHOLD = 128, 71
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 #: Windows are widened until this share of a block, and TIMES_K times k in any case, are candidates.
-SHARE, TIMES_K = 0.1, 24
+SHARE, TIMES_K = 0.1, 20
 #: Share of a block that a window takes at first, and what each round adds.
-FIRST, STEP = 0.4, 0.04
+FIRST, STEP = 0.505, 0.02
 
 
 def _directions(dims: int) -> np.ndarray:
@@ -61,6 +61,7 @@ class Block:
         projected = np.stack([(lifted * d).sum(1) for d in _directions(lifted.shape[1]).T])
         self.sorted = np.sort(projected, 1)
         self.place = np.stack([np.searchsorted(s, p) for s, p in zip(self.sorted, projected, strict=True)]).astype(np.uint16)
+        self.offset, self.inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
 
     def middles(self, queries: np.ndarray) -> np.ndarray:
         """Places of queries' projections, [query, projection]."""
@@ -75,8 +76,9 @@ class Block:
         while True:
             reach = int(share * n / 2) + 1
             lo, hi = np.maximum(middle - reach, 0), np.minimum(middle + reach, n)
-            inside = (self.place - lo[:, None].astype(np.uint16)) < (hi - lo)[:, None].astype(np.uint16)
-            found = np.flatnonzero(inside.sum(0, dtype=np.uint8) >= THRESHOLD)
+            np.subtract(self.place, lo[:, None].astype(np.uint16), out=self.offset)
+            np.less(self.offset, (hi - lo)[:, None].astype(np.uint16), out=self.inside)
+            found = np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), 0, dtype=np.uint8) >= THRESHOLD)
             if len(found) >= wanted or reach >= n:
                 return found
             share += STEP

@@ -26,13 +26,15 @@ import numpy as np
 #: Ids of a block at most.
 BLOCK_IDS = 1 << 20
 #: Ids of a lane at most.
-LANE_IDS = 512
+LANE_IDS = 256
 #: Steps between two refreshes of frequencies.
 REFRESH = 8
 
 _MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, ids, lanes, steps, alphabet, crc of the ids, crc of the rest
 _U32, _U12 = np.uint64(32), np.uint64(12)
+_U3, _U7 = np.uint32(3), np.uint32(7)
+_KIND = np.arange(3, dtype=np.uint32)
 _TOP = np.uint64(1 << 32)
 _PAIR_BITS = 18
 _GAIN = 8
@@ -46,10 +48,9 @@ class _Model:
     """What both directions learn alike, step by step."""
 
     def __init__(self, alphabet: int, lanes: int):
-        self.id2 = np.zeros(1 << _PAIR_BITS, np.uint32)
-        self.sure2 = np.zeros(1 << _PAIR_BITS, np.uint8)
-        self.id1 = np.zeros(alphabet, np.uint32)
-        self.sure1 = np.zeros(alphabet, np.uint8)
+        # predictions: id * 8 + confidence
+        self.after2 = np.zeros(1 << _PAIR_BITS, np.uint32)
+        self.after1 = np.zeros(alphabet, np.uint32)
         self.seen = np.ones(alphabet, np.int64)
         self.mixed = np.ones((128, 3), np.int64)
         self.last1 = np.zeros(lanes, np.uint32)
@@ -75,19 +76,19 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order-2 ids, order-1 ids, mixing context) of the lanes."""
         self.at2 = ((self.last1 * np.uint32(0x9E3779B1)) ^ (self.last2 * np.uint32(0x85EBCA77))) >> np.uint32(32 - _PAIR_BITS)
-        self.p2, self.p1 = self.id2[self.at2], self.id1[self.last1]
-        self.f2, self.f1 = self.sure2[self.at2], self.sure1[self.last1]
-        self.context = self.f2 * np.uint8(16) + self.f1 * np.uint8(2) + (self.p1 == self.p2)
-        return self.p2, self.p1, self.context
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
-        """kind: 0 order 2, 1 order 1, 2 neither; new: the ids of the last kind."""
-        for held, sure, at, p, f in ((self.id2, self.sure2, self.at2, self.p2, self.f2), (self.id1, self.sure1, self.last1, self.p1, self.f1)):
-            hit = (p == ids) & (f > 0)
-            weak = ~hit & (f <= 1)
-            held[at] = np.where(weak, ids, p)
-            sure[at] = np.where(hit, np.minimum(f + np.uint8(1), np.uint8(7)), np.where(weak, np.uint8(1), f >> np.uint8(1)))
-        self.kinds.append(self.context.astype(np.int64) * 3 + kind)
+        self.at2, self.at1 = self.at2.astype(np.intp), self.last1.astype(np.intp)
+        self.held2, self.held1 = self.after2[self.at2], self.after1[self.at1]
+        p2, p1 = self.held2 >> _U3, self.held1 >> _U3
+        self.sure2, self.sure1 = self.held2 & _U7, self.held1 & _U7
+        self.context = ((self.sure2 << _U3) + self.sure1) * np.uint32(2) + (p1 == p2)
+        return p2, p1, self.context
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
+        """hit2, hit1: lanes whose order-2 or order-1 id was right; kind: 0 order 2, 1 order 1, 2 neither; new: the ids of the last kind."""
+        fresh = (ids << _U3) | np.uint32(1)
+        for table, at, held, sure, hit in ((self.after2, self.at2, self.held2, self.sure2, hit2), (self.after1, self.at1, self.held1, self.sure1, hit1)):
+            table[at] = np.where(hit, held + (sure < _U7), np.where(sure <= 1, fresh, (held - sure) + (sure >> np.uint32(1))))
+        self.kinds.append(self.context * np.uint32(3) + kind)
         self.news.append(new)
         self.last2, self.last1 = self.last1, ids
         self.steps += 1
@@ -135,10 +136,9 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         for k in range(steps):
             t = grid[k]
             p2, p1, context = model.predict()
-            hit2 = (p2 == t) & (model.f2 > 0)
-            hit1 = (p1 == t) & (model.f1 > 0) & ~hit2
-            kind = 2 - 2 * hit2.astype(np.int64) - hit1
-            slot = context.astype(np.int64) * 3 + kind
+            hit2, hit1 = (p2 == t) & (model.sure2 > 0), (p1 == t) & (model.sure1 > 0)
+            kind = np.where(hit2, _KIND[0], np.where(hit1, _KIND[1], _KIND[2]))
+            slot = (context * np.uint32(3) + kind).astype(np.intp)
             r = span >> _U12
             moved = low + r * model.start_flat[slot]
             over = np.flatnonzero(moved < low)
@@ -164,7 +164,7 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
                 at = m[r < _TOP]
                 if len(at):
                     emit(at)
-            model.learn(t, kind, new)
+            model.learn(t, hit2, hit1, kind, new)
         end = low + np.uint64((1 << 32) - 1)
         over = np.flatnonzero(end < low)
         if len(over):
@@ -217,9 +217,9 @@ def decode_block(data: memoryview) -> np.ndarray:
         for k in range(steps):
             p2, p1, context = model.predict()
             r = span >> _U12
-            v = code // r
-            kind = (v >= model.second[context]).astype(np.int64) + (v >= model.third[context])
-            slot = context.astype(np.int64) * 3 + kind
+            row = context.astype(np.intp)
+            kind = (code >= r * model.second[row]).astype(np.uint32) + (code >= r * model.third[row])
+            slot = row * 3 + kind
             code -= r * model.start_flat[slot]
             np.multiply(r, model.share_flat[slot], out=span)
             at = np.flatnonzero(span < _TOP)
@@ -242,7 +242,7 @@ def decode_block(data: memoryview) -> np.ndarray:
                     code[at] = (code[at] << _U32) | word(at)
                     span[at] <<= _U32
             grid[k] = t
-            model.learn(t, kind, new)
+            model.learn(t, (p2 == t) & (model.sure2 > 0), (p1 == t) & (model.sure1 > 0), kind, new)
     ids = np.ascontiguousarray(grid.T).ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise BlockError("the ids of a block do not match their checksum")

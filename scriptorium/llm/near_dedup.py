@@ -1,8 +1,8 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set of word shingles is sketched into registers; a register holds,
-for the least hash of its bucket, the number of leading zeros and ten bits of
-mantissa (16 bits in all).  Bands of compressed registers propose pairs; the
+for the least hash of its bucket, the number of leading zeros and four bits of
+mantissa (8 bits in all).  Bands of compressed registers propose pairs; the
 collision-corrected Jaccard estimate of their registers drops the hopeless ones;
 the rest are confirmed on full shingle sets.
 
@@ -11,12 +11,13 @@ the rest are confirmed on full shingle sets.
   function's buckets (empty ones borrow from a bucket that a hash chooses); sets
   of SMALL_LEAST to SMALL_MOST shingles have both, so any two sets of at least
   the threshold are compared under one scheme.
-* In a band's bucket every member is first compared with the bucket's least
-  member.  Members that the confirmed links then leave in different components
-  are compared with each other, in large buckets only where they share a second
-  band.  So no bucket is expanded into all of its pairs, and none is capped.
-* A pair of similarity 0.8 shares no band with probability 5e-7, no second band
-  with 1e-5, and is dropped by its estimate with less than 1e-8.
+* In a band's bucket every member is first compared with the bucket's leader,
+  the one that shares buckets with the most others.  Members that the confirmed links do not lead to one node within two
+  steps are compared with each other, in large buckets only where they share a
+  second band.  So no bucket is expanded into all of its pairs, and none is
+  capped.
+* A pair of similarity 0.8 shares no band with probability 2e-6, no second band
+  with 3e-5, and is dropped by its estimate with less than 1e-8.
 """
 
 from __future__ import annotations
@@ -32,15 +33,15 @@ from scriptorium.llm import textkit as tk
 from scriptorium.llm.components import components
 from scriptorium.llm.frames import checked_broadcast, in_arrow, map_arrow, materialise
 
-BANDS, ROWS = 48, 6
+BANDS, ROWS = 72, 8
 REGISTERS = BANDS * ROWS
 SMALL_LEAST, SMALL_MOST = 100, 128
 #: Buckets of more members are compared under a second band.
 LARGE_BUCKET = 64
 #: A pair's estimate must be this much under the threshold to be dropped: six standard deviations at 0.8, and more for borrowed registers.
-SLACK = 0.2
-#: Two unlike registers are equal by chance with about this probability (ten bits of mantissa).
-CHANCE = 0.18 / 1024
+SLACK = 0.15
+#: Two unlike registers are equal by chance with about this probability (four bits of mantissa).
+CHANCE = 0.18 / 16
 
 _rng = np.random.default_rng(11)
 _ODD = (_rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -90,14 +91,14 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[t
 
 
 def _compressed(least: np.ndarray) -> np.ndarray:
-    """Registers of least hashes: leading zeros, then ten bits of mantissa."""
+    """Registers of least hashes: leading zeros (15 at most), then four bits of mantissa."""
     part, exp = np.frexp(least.astype(np.float64) + 1.0)
-    zeros = np.clip(65 - exp, 0, 63).astype(np.uint16)
-    return (zeros << np.uint16(10)) | np.minimum((part * 2048 - 1024).astype(np.int64), 1023).astype(np.uint16)
+    zeros = np.clip(65 - exp, 0, 15).astype(np.uint8)
+    return (zeros << np.uint8(4)) | np.minimum((part * 32 - 16).astype(np.int64), 15).astype(np.uint8)
 
 
 def _many_functions(s: np.ndarray, start: np.ndarray) -> np.ndarray:
-    out = np.empty((len(start), REGISTERS), np.uint16)
+    out = np.empty((len(start), REGISTERS), np.uint8)
     for k in range(REGISTERS):
         out[:, k] = _compressed(np.minimum.reduceat(s * _ODD[k] + _ADD[k], start))
     return out
@@ -111,7 +112,7 @@ def _one_function(s: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     bucket = ((s >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
     at = row * REGISTERS + bucket
     head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    flat = np.zeros(rows * REGISTERS, np.uint16)
+    flat = np.zeros(rows * REGISTERS, np.uint8)
     full = np.zeros(rows * REGISTERS, bool)
     flat[at[head]], full[at[head]] = _compressed(s[head] * np.uint64(REGISTERS)), True
     grid, have = flat.reshape(rows, REGISTERS), full.reshape(rows, REGISTERS)
@@ -161,7 +162,7 @@ def _banded(registers: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         col = batch.column(2)
-        grid = np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(len(col), REGISTERS)[:, _ORDER].astype(np.uint64)
+        grid = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), REGISTERS)[:, _ORDER].astype(np.uint64)
         with np.errstate(over="ignore"):
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(2) + batch.column(1).to_numpy().astype(np.uint64)[:, None], (len(col), BANDS)).copy()
             for k in range(ROWS):
@@ -196,7 +197,7 @@ def _estimated(pairs: DataFrame, registers: DataFrame, threshold: float) -> Data
         for batch in batches:
             a, b, role = (batch.column(k).to_numpy() for k in (0, 4, 3))
             blobs = batch.column(5)
-            grid = np.frombuffer(b"".join(blobs.to_pylist()), np.uint16).reshape(len(blobs), REGISTERS) if len(blobs) else np.zeros((0, REGISTERS), np.uint16)
+            grid = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(len(blobs), REGISTERS) if len(blobs) else np.zeros((0, REGISTERS), np.uint8)
             heads = np.flatnonzero(role == 0)
             which = np.searchsorted(heads, np.arange(len(a)), "right") - 1
             pool = grid[heads] if head is None else np.concatenate([head[None, :], grid[heads]])
@@ -275,10 +276,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     bands = materialise(_banded(sketches), "bands")
     registers = sketches.dropDuplicates(["node", "scheme"])
 
-    crowds = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).filter("a <> z")
-    crowds = materialise(crowds.drop("z"), "crowds")
-    met = materialise(bands.join(crowds, "band"), "met")  # members of buckets with several nodes
-    stars = met.filter("node <> a").select("a", F.col("node").alias("b"), "scheme").distinct()
+    dealt = bands.repartition("band")  # one exchange serves the aggregate and the join
+    crowds = dealt.groupBy("band").agg(F.min("node").alias("y"), F.max("node").alias("z"), F.count("*").alias("c")).filter("y <> z").drop("y", "z")
+    met = materialise(dealt.join(crowds, "band"), "met")  # members of buckets with several nodes
+    # the node that meets the most others leads a bucket: of a group of copies, the one that they were made from
+    meets = materialise(met.groupBy("node").agg(F.sum("c").alias("meets")), "meets")
+    leaders = met.join(meets, "node").groupBy("band").agg(F.max_by("node", F.struct("meets", "node")).alias("a"))
+    stars = materialise(met.join(leaders, "band").filter("node <> a").select("a", F.col("node").alias("b"), "scheme").distinct(), "stars")
     likely = materialise(_estimated(stars, registers, percent / 100), "likely")
 
     def sets_for(pairs: DataFrame) -> DataFrame:
@@ -286,10 +290,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
         return materialise(_full_sets(docs, named.join(nodes, "node"), words), "sets")
 
     links = materialise(_confirmed(likely, sets_for(likely), percent), "links")
-    joined = components(links)
 
-    # members of a bucket that are in different components so far
-    placed = met.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # where links to leaders lead in two steps; nodes of one such end are in one component
+    led = links.join(meets.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.max_by("u", F.struct("meets", "u")).alias("to"))
+    led = materialise(led, "led")
+    ends = led.join(led.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("end"))
+    placed = met.join(ends, "node", "left").withColumn("component", F.coalesce("end", "node")).drop("end")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band")
     placed = materialise(placed.join(mixed, "band").select("band", "node", "scheme", "component", "c"), "mixed")
     one = placed.filter(F.col("c") <= LARGE_BUCKET).select("band", "node", "scheme", "component")
@@ -303,9 +309,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, key: str =
     across = materialise(across.join(stars, ["a", "b", "scheme"], "left_anti"), "across")
     more = materialise(_estimated(across, registers, percent / 100), "likely")
     if more.limit(1).count():
-        more_links = materialise(_confirmed(more, sets_for(more), percent), "links")
-        if more_links.limit(1).count():
-            joined = components(links.union(more_links))
+        links = links.union(materialise(_confirmed(more, sets_for(more), percent), "links"))
+    joined = components(links)
 
     ids = nodes.join(joined, "node", "left").select("f1", "f2", "n", "doc_id", F.coalesce("component", "node").alias("component"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))

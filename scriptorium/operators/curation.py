@@ -21,18 +21,23 @@ def duplicate_groups(df: DataFrame, identity: list[Column], key: str) -> DataFra
     return held.join(groups, "group_id").select(key, "group_id", "size", (F.col(key) == F.col("_least")).alias("is_canonical"))
 
 
-def containment(items: DataFrame, docs: DataFrame, k: int = 3, least: float = 0.6, rare_docs: int = 500) -> DataFrame:
+def containment(items: DataFrame, docs: DataFrame, k: int = 3, least: float = 0.6) -> DataFrame:
     """(item_id, doc_id, token_coverage, trigram_coverage, numeric_coverage, rank): the k documents that cover an item's words best.
 
-    Documents are candidates when they share one of the item's blocking words:
-    its words in at most `rare_docs` documents, so no common word makes pairs.
+    Documents are candidates when they hold one of the item's rarest words, so
+    many that a document without any of them covers less than `least`: of n
+    words, n - m + 1 where m are needed.  No candidate is lost, however frequent
+    the words are, and the most frequent make no pairs.
     """
     i = items.select("item_id", tokens(F.col("text")).alias("iw"), numbers(F.col("text")).alias("inum"))
     d = docs.select("doc_id", tokens(F.col("text")).alias("dw"), numbers(F.col("text")).alias("dnum"))
-    asked = i.select("item_id", F.explode(F.array_distinct("iw")).alias("t"))
+    asked = i.select("item_id", F.xxhash64("iw").alias("row"), F.size(F.array_distinct("iw")).alias("n"), F.explode(F.array_distinct("iw")).alias("t")).distinct()
     held = d.select("doc_id", F.explode(F.array_distinct("dw")).alias("t")).join(F.broadcast(asked.select("t").distinct()), "t", "left_semi")
-    rare = held.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") <= rare_docs).select("t")
-    pairs = held.join(rare, "t").join(asked, "t").select("item_id", "doc_id").distinct()
+    times = held.groupBy("t").agg(F.count("*").alias("times"))
+    rarest = F.row_number().over(Window.partitionBy("item_id", "row").orderBy(F.coalesce("times", F.lit(0)), "t"))
+    needed = F.greatest(F.lit(1), F.ceil((least - 1e-6) * F.col("n")))  # coverage is rounded to 6 places
+    chosen = asked.join(times, "t", "left").withColumn("place", rarest).filter(F.col("place") <= F.col("n") - needed + 1)
+    pairs = held.join(chosen.select("item_id", "t").distinct(), "t").select("item_id", "doc_id").distinct()
     both = d.join(pairs, "doc_id").join(i, "item_id")
     both = both.select("item_id", "doc_id", F.round(coverage(F.col("iw"), F.col("dw")), 6).alias("token_coverage"), F.round(coverage(trigrams(F.col("iw")), trigrams(F.col("dw"))), 6).alias("trigram_coverage"), F.round(coverage(F.col("inum"), F.col("dnum")), 6).alias("numeric_coverage")).filter(F.col("token_coverage") >= least)
     order = Window.partitionBy("item_id").orderBy(F.desc("token_coverage"), F.desc("trigram_coverage"), "doc_id")

@@ -73,3 +73,16 @@ def test_as_of_takes_the_last_before(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 7, "c")], "k int, t int, v string")
     assert {(r.k, r.t): r.x for r in S.as_of(left, right, ["k"], "t", "v", "x").collect()} == {(1, 5): "b", (1, 1): None, (2, 9): None}
+
+
+def test_containment_finds_a_passage_of_very_many_documents(spark):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "the quick red hen sleeps"), (3, "")], "item_id int, text string")
+    texts = ["The quick brown fox jumps", "the quick brown fox", "the quick brown hen", "a quick red hen sleeps here", "none", None]
+    docs = spark.range(600 * len(texts)).select(F.col("id").alias("doc_id"), F.array(*map(F.lit, texts))[(F.col("id") % len(texts)).cast("int")].alias("text"))
+    got = {(r.item_id, r["rank"]): (r.doc_id, r.token_coverage) for r in C.containment(items, docs, 700).collect()}
+    want = {}
+    for item, covers in ((1, {0: 1.0, 1: 0.8, 2: 0.6}), (2, {3: 0.8, 2: 0.6})):
+        found = sorted((-c, d) for kind, c in covers.items() for d in range(kind, 600 * len(texts), len(texts)))[:700]
+        want |= {(item, n): (d, -c) for n, (c, d) in enumerate(found, 1)}
+    assert got.keys() == want.keys()
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}

@@ -37,6 +37,23 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest_neighbours(df.filter("vec_id in (0, 1)")).count() == 1
 
 
+def test_neighbours_on_full_blocks_without_clusters(spark):
+    rng = np.random.default_rng(1)
+    for spread in (0.0, 1.0):  # equal and mixed norms
+        x = rng.standard_normal((8200, 64))
+        x *= rng.lognormal(0, spread, (len(x), 1)) / np.sqrt((x * x).sum(1, keepdims=True))
+        x[7] *= 20
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got: dict[int, list] = {}
+        for r in sorted(ann.nearest_neighbours(df, 20, 200).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert sorted(got) == list(range(0, len(x), 200))
+        for q, found in got.items():
+            score = (x * x[q]).sum(1)
+            score[q] = -np.inf
+            assert found == np.lexsort((np.arange(len(x)), -score))[:20].tolist()
+
+
 def test_chats(spark):
     calls = [{"id": "a", "name": "search", "arguments": {"query": "x", "limit": 3}}, {"id": "b", "name": "search", "arguments": {"z": 1, "limit": "no"}}, {"id": "c", "name": "nope", "arguments": {}}]
     rows = [

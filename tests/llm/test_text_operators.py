@@ -210,3 +210,38 @@ def test_leaks_and_paraphrases(spark):
     assert got == want
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0
     assert decontaminate.leaks(frame.limit(5), bench.limit(0)).count() == 0
+
+
+def test_leaks_are_those_of_an_lcs(spark):
+    def in_order(a: list[str], b: list[str]) -> list[int]:
+        """Length of the longest common subsequence with each beginning of a."""
+        row = [0] * (len(b) + 1)
+        out = [0]
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+            out.append(row[-1])
+        return out
+
+    rng = random.Random(7)
+    vocabulary = words(rng, 3000)
+    text = lambda n: [vocabulary[int(3000 * rng.random() ** 3)] for _ in range(n)]
+    items = [text(rng.choice([18, 30, 38, 54])) for _ in range(60)]
+    docs, want = [], set()
+    for i in range(600):
+        item = list(items[i % 60])
+        for k in rng.sample(range(len(item)), len(item) * (i % 4) // 10):  # 0 to 30 % other words
+            item[k] = rng.choice(vocabulary)
+        docs.append((i, " ".join([*text(80), *item, *text(80)])))
+        # the plant alone, and with what stands around it, has enough of the item and of its last quarter in order
+        n = len(item)
+        tail = -(-n // 4)
+        around = docs[-1][1].split()
+        found = [in_order(items[i % 60], x) for x in (item, *(around[80 - k : 80 + n + k] for k in (n // 2, n)))]
+        if all(f[n] >= decontaminate.COMMON * n and f[n] - f[n - tail] >= decontaminate.ANSWER * tail for f in found):
+            want.add((i, i % 60))
+    bench = spark.createDataFrame(list(enumerate(map(" ".join, items))), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 450 and want <= got

@@ -69,7 +69,7 @@ def format_chats(df: DataFrame, tools: dict[str, dict[str, str]] = TOOLS, conv:
     results = rows.filter("call_id is not null").join(made, ["conv_id", "call_id"], "left").select(*rows.columns, "call_turn", F.lit(None).cast("array<string>").alias("answered"))
     callers = rows.filter("size(calls) > 0").join(answered, ["conv_id", "turn"], "left").select(*rows.columns, F.lit(None).cast("bigint").alias("call_turn"), "answered")
     out = plain.union(results).union(callers)
-    bad = F.filter(F.transform("calls", lambda c: F.concat_ws("=", c["id"], F.nullif(_problems(c, tools), F.lit("")))), lambda p: F.contains(p, F.lit("=")))
+    bad = F.filter(F.transform("calls", lambda c: F.struct(c["id"].alias("id"), _problems(c, tools).alias("problems"))), lambda p: p["problems"] != "")
     content = F.coalesce(F.when(F.col("kind") != "message", F.try_variant_get("v", "$.content", "string")), F.when(F.col("kind") == "message", F.coalesce("text", F.lit(""))), F.lit(""))
     named = F.transform("calls", lambda c: F.struct(F.parse_json(F.to_json(c["arguments"])).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
     return (
@@ -80,7 +80,7 @@ def format_chats(df: DataFrame, tools: dict[str, dict[str, str]] = TOOLS, conv:
         .withColumn("n_linked", F.size(F.filter("calls", lambda c: F.coalesce(F.array_contains("answered", c["id"]), F.lit(False)))))
         .withColumn("bad", bad)
         .withColumn("n_invalid", F.size("bad"))
-        .withColumn("problems", F.array_join("bad", ";"))
+        .withColumn("problems", F.array_join(F.transform("bad", lambda p: F.concat_ws("=", p["id"], p["problems"])), ";"))
         .withColumn("linked", F.col("call_turn").isNotNull())
         .withColumn(
             "json",

@@ -69,3 +69,10 @@ def test_chats(spark):
     assert json.loads(caller.json)["tool_calls"][1]["arguments"] == {"limit": "no", "z": 1} and '"arguments":{"limit":3,"query":"x"}' in caller.json
     assert got[3, 0, "assistant"].kind == "message" and got[2, 0, "unknown"].json == '{"content":"","role":"unknown"}'
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_problems_of_calls_without_an_identifier(spark):
+    calls = [{"id": None, "name": "nope", "arguments": {}}, {"name": "search", "arguments": {}}, {"id": "a=b", "name": "lookup", "arguments": {"key": "x"}}]
+    df = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls}))], "conv_id long, turn int, role string, text string")
+    got = chat_format.format_chats(df).first()
+    assert (got.n_calls, got.n_invalid, got.problems) == (3, 2, "unknown tool;missing:query")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -36,13 +37,16 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none, as in tests, one in the warehouse is set.
+    Only a local session that names none, as in tests, gets one in its warehouse;
+    on a cluster that would be a folder of one machine, and is an error.
     """
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
         held = sc._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
             held = sc._jsc.sc().getCheckpointDir()
         told = held.get()
@@ -53,22 +57,48 @@ _scratch: dict[str, list[str]] = {}
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors cost nothing that was written."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and lost executors cost nothing that was written.
+
+    Operators forget what their result no longer reads; the rest goes when the
+    driver's Python ends, or by drop_scratch.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptorium-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd" if label.endswith("z") else "snappy").parquet(path)
+    if spark.sparkContext.applicationId not in _scratch:
+        atexit.register(_at_exit, spark)
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what earlier, finished queries of this session left in the shared folder."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that materialise gave; nothing may read them, or what was derived from them, any more."""
+    for df in frames:
+        path, mine = df._scratch_path, _scratch.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in mine:
+            mine.remove(path)
+            _delete(df.sparkSession, [path])
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what earlier queries of this session left in the shared folder; their frames can't be read after it."""
+    _delete(spark, _scratch.pop(spark.sparkContext.applicationId, []))
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else it was stopped before, and has no file system any more
+        drop_scratch(spark)
+
+
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:
     """A broadcast hint where `rows` rows of at most `row_bytes` bytes are under `most`; else df as it is."""
     return F.broadcast(df) if rows * row_bytes <= most else df

@@ -1,17 +1,20 @@
 """Toxicity by weak supervision.
 
-Voters, each a weak and noisy opinion on a document, are made first: seed
-lexicons, lexicons induced from the training rows (whole words, and word
-beginnings of several lengths, which catch inflections; each from one half of
-the rows), patterns of writing, and the annotators' labels as one voter more.  A
-generative label model estimates by expectation maximisation how often each
-voter says what for each class, and from the residuals which voters are
-correlated; a voter counts the less the more others repeat it.  The posterior
-labels then train a linear classifier on the presence of selected words and word
-beginnings, which scores every text whole.
-
-The fit uses at most MOST_TRAINING labelled rows, those with the least hashes of
-their ids; everything that scores covers all rows.
+Voters, each a weak and noisy opinion on a document, are made first: groups of
+seed words, groups of induced terms (whole words, and word beginnings of several
+lengths, which catch inflections), and patterns of writing.  Terms are induced
+from labelled rows, but a row is voted on only by terms that the other parts of
+the rows gave, so no vote repeats the row's own label.  A generative label model
+is fitted on the votes alone: expectation maximisation estimates what each voter
+says for each class and, in each round, which voters are correlated beyond what
+the classes explain; a voter counts the less the more others repeat it.  Labels
+only orient the two classes and calibrate the posterior.  The posterior labels
+then train a linear classifier on the presence of selected words and word
+beginnings, of either class, which scores every text whole.
+
+The fit uses at most MOST_TRAINING labelled documents, those with the least
+hashes of their ids, and of each at most MOST_ROWS rows and MOST_TERMS terms;
+everything that scores covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import textkit as tk
@@ -29,11 +32,15 @@ from scriptorium.llm.frames import in_arrow, map_arrow, materialise
 
 #: Labelled rows that the model is fitted on, at most.
 MOST_TRAINING = 10_000
+#: Rows of one id and distinct terms of a row that the fit takes at most: those with the least hashes.
+MOST_ROWS, MOST_TERMS = 4, 50_000
+#: Parts of the training rows; groups of induced terms and words of a group of seeds, each a voter.
+PARTS, GROUPS, SEEDS_OF_GROUP = 5, 24, 3
 #: Lengths of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
 #: A term enters a lexicon with this log-likelihood ratio and precision, and the classifier with these: rarer terms,
 #: and common words of a class' language, would add up to nonsense in long texts.
-LEXICON_RATIO, LEXICON_PRECISION, FEATURE_RATIO, FEATURE_PRECISION = 24.0, 0.8, 20.0, 0.8
+LEXICON_RATIO, LEXICON_PRECISION, FEATURE_RATIO, FEATURE_PRECISION = 16.0, 0.9, 16.0, 0.9
 #: A beginning of which one word makes up more than this share is no term.
 MOST_OF_ONE = 0.7
 
@@ -120,40 +127,51 @@ def _ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float)
     return np.where(toxic > n * share, g, -g)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, anchor: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, tied_from: float = 0.2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, chance of a right vote per voter, weight per voter) of votes in {-1, 0, 1} [documents, voters].
 
-    start: first posterior; a share `anchor` of it stays in each estimate, which
-    keeps the classes from drifting where few voters speak.  Voters that agree
-    beyond what the classes explain are down-weighted by the sum of their
-    residual correlations.
+    start: first posterior, only where the search for the classes begins.  Each
+    round estimates the chance of each vote in each class from the posterior, then
+    the voters' correlations given the classes: of what their votes differ by from
+    what the classes let expect; a voter that agrees with others beyond tied_from
+    is weighted by one over one and the sum of these correlations.
     """
     n, m = votes.shape
+    spoken = np.stack([votes == v for v in (-1, 0, 1)]).astype(float)
     q, weight = start.astype(float), np.ones(m)
-    cast = votes != 0
-    right = np.full(m, 0.5)
-    for step in range(rounds):
-        q = (1 - anchor) * q + anchor * start
+    says = np.full((2, 3, m), 1 / 3)
+    for _ in range(rounds):
         prior = np.clip(q.mean(), 0.001, 0.999)
-        log_odds = np.full(n, np.log(prior / (1 - prior)))
-        mean = np.empty((2, m))
-        for j in range(m):
-            for y, p in ((1, q), (0, 1 - q)):
-                mean[y, j] = (p @ (votes[:, j] > 0) + 0.5) / (p @ cast[:, j] + 1)
-            with np.errstate(divide="ignore"):
-                log_odds += weight[j] * np.where(votes[:, j] > 0, np.log(mean[1, j] / mean[0, j]), np.where(votes[:, j] < 0, np.log((1 - mean[1, j]) / (1 - mean[0, j])), 0.0))
-            right[j] = (q @ (votes[:, j] > 0) + (1 - q) @ (votes[:, j] < 0) + 0.5) / (cast[:, j].sum() + 1)
-        q = 1 / (1 + np.exp(-np.clip(log_odds, -40, 40)))
-        if step == rounds // 2:
-            rest = np.where(cast, (votes > 0) - (q[:, None] * mean[1] + (1 - q[:, None]) * mean[0]), 0.0)
-            size = np.sqrt((rest * rest).sum(0) + 0.01 * n)
-            tied = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
-            np.fill_diagonal(tied, 0)
-            weight = 1 / (1 + np.where(tied > 0.2, tied, 0).sum(1))
+        for y, p in ((1, q), (0, 1 - q)):
+            says[y] = (np.einsum("i,vij->vj", p, spoken) + 0.5) / (p.sum() + 1.5)
+        rest = votes - (q[:, None] * (says[1, 2] - says[1, 0]) + (1 - q[:, None]) * (says[0, 2] - says[0, 0]))
+        size = np.sqrt((rest * rest).sum(0) + 0.01 * n)
+        tied = np.clip((rest.T @ rest) / np.outer(size, size), 0, 1)
+        np.fill_diagonal(tied, 0)
+        weight = 1 / (1 + np.where(tied > tied_from, tied, 0).sum(1))
+        odds = np.log(says[1] / says[0]) * weight
+        q = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + np.einsum("vij,vj->i", spoken, odds), -40, 40)))
+    right = (np.einsum("i,ij->j", q, spoken[2]) + np.einsum("i,ij->j", 1 - q, spoken[0]) + 0.5) / ((votes != 0).sum(0) + 1)
     return q, right, weight
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, n: int, width: int, target: np.ndarray, decay: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def calibrated(q: np.ndarray, label: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Posteriors, turned round if they go against the labels, on the labels' scale: a logistic fit of two numbers."""
+    if q[label == 1].mean() < q[label == 0].mean():
+        q = 1 - q
+    x = np.log(np.clip(q, 1e-6, 1 - 1e-6) / np.clip(1 - q, 1e-6, 1))
+    a, b = 1.0, 0.0
+    for _ in range(steps):  # Newton's, with a prior that holds the two near 1 and 0
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = p * (1 - p)
+        g = np.array([x @ (p - label) + (a - 1), (p - label).sum() + b])
+        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, b = max(a - step[0], 0.05), b - step[1]
+    return 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+
+
+def _logistic(row: np.ndarray, col: np.ndarray, n: int, width: int, target: np.ndarray, decay: float = 3e-4, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on presence features with soft targets, by accelerated gradient steps."""
     w, v, bias = np.zeros(width), np.zeros(width), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     vb = 0.0
@@ -183,8 +201,13 @@ def _inflected(pairs: np.ndarray) -> np.ndarray:
     return of[first][(kinds >= 3) & (np.maximum.reduceat(count, first) <= MOST_OF_ONE * np.add.reduceat(count, first))]
 
 
-def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray, pairs: np.ndarray) -> dict:
-    """The classifier from training documents' distinct terms, labels (0 or 1) and halves (0 or 1); pairs: see _inflected, of the documents of label 1."""
+def _fewest(terms: np.ndarray) -> np.ndarray:
+    """At most MOST_TERMS of a row's terms, by their hashes' order, which has nothing to do with places in the text."""
+    return terms if len(terms) <= MOST_TERMS else np.sort(terms[np.argpartition(tk.mix(terms), MOST_TERMS)[:MOST_TERMS]])
+
+
+def fit(terms: list[np.ndarray], label: np.ndarray, part: np.ndarray, pairs: np.ndarray) -> dict:
+    """The classifier from training documents' distinct terms, labels (0 or 1) and parts (0 to PARTS - 1); pairs: see _inflected, of the documents of label 1."""
     n = len(terms)
     sizes = np.array([len(t) for t in terms], np.int64)
     row = np.repeat(np.arange(n), sizes)
@@ -192,41 +215,51 @@ def fit(terms: list[np.ndarray], label: np.ndarray, fold: np.ndarray, pairs: np.
     width = len(vocabulary)
     if not n or label.min() == label.max():
         share = float(label.mean()) if n else 0.0
-        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 4.0 if share > 0.5 else -4.0, "right": np.zeros(0), "training": n}
+        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 4.0 if share > 0.5 else -4.0, "voters": 0, "training": n}
     # a beginning that one word makes up would only catch other words by accident
     whole = ~np.isin(vocabulary, pairs[:, 0]) | np.isin(vocabulary, _inflected(pairs))
     count = lambda pick: np.bincount(col[pick[row]], minlength=width).astype(float)
-    votes = []
+    group = (tk.mix(vocabulary) % np.uint64(GROUPS)).astype(np.int64)
+    # a row's votes by induced terms: each part's rows by the terms of the others
+    induced = np.zeros((n, GROUPS), np.int8)
+    for k in range(PARTS):
+        others = part != k
+        toxic, clean = count(others & (label == 1)), count(others & (label == 0))
+        g = _ratio(toxic, clean, (others & (label == 1)).sum(), (others & (label == 0)).sum())
+        lexicon = whole & (g >= LEXICON_RATIO) & (toxic >= LEXICON_PRECISION * (toxic + clean))
+        hit = lexicon[col] & ~others[row]
+        induced[row[hit], group[col[hit]]] = 1
+    votes = list(induced.T)
 
-    def presence(lexicon: np.ndarray) -> np.ndarray:
-        hit = np.zeros(n, bool)
-        hit[row[lexicon[col]]] = True
+    def presence(chosen: np.ndarray) -> np.ndarray:
+        hit = np.zeros(n, np.int8)
+        hit[row[chosen[col]]] = 1
         return hit
 
-    for half in (0, 1):
-        toxic, clean = count((label == 1) & (fold == half)), count((label == 0) & (fold == half))
-        g = _ratio(toxic, clean, ((label == 1) & (fold == half)).sum(), ((label == 0) & (fold == half)).sum())
-        lexicon = whole & (g >= LEXICON_RATIO) & (toxic >= LEXICON_PRECISION * (toxic + clean))
-        for band in (0, 1):  # frequent and rare terms vote apart
-            often = toxic + clean >= 4 * LEXICON_RATIO
-            hit = presence(lexicon & (often if band else ~often))
-            votes.append(np.where(hit, 1, -1 if hit.any() else 0))
     for words in SEEDS.values():
-        raw, offsets = tk.utf8(pa.array([words]))
-        keys = next(_terms(raw, offsets))[2]
-        seeds = np.isin(vocabulary, keys[: len(words.split())])
-        votes.append(np.where(presence(seeds), 1, 0))
+        each = words.split()
+        for at in range(0, len(each), SEEDS_OF_GROUP):
+            some = each[at : at + SEEDS_OF_GROUP]
+            raw, offsets = tk.utf8(pa.array([" ".join(some)]))
+            votes.append(presence(np.isin(vocabulary, next(_terms(raw, offsets))[2][: len(some)])))
     for k in range(len(_PATTERNS)):
-        votes.append(np.where(presence(vocabulary == np.uint64(k + 1)), 1, 0))
-    votes.append(np.where(label == 1, 1, -1))
-    q, right, weight = label_model(np.stack(votes, 1), np.where(label == 1, 0.9, 0.1))
+        votes.append(presence(vocabulary == np.uint64(k + 1)))
+    votes = np.stack(votes, 1).astype(float)
+    votes = votes[:, votes.any(0)]
+    if votes.shape[1]:
+        q = label_model(votes, np.where(votes[:, : max(1, votes.shape[1] - len(_PATTERNS))].any(1), 0.9, 0.05))[0]
+        q = calibrated(q, label)
+    else:
+        q = np.full(n, label.mean())
     toxic, clean = count(q >= 0.5), count(q < 0.5)
     g = _ratio(toxic, clean, (q >= 0.5).sum(), (q < 0.5).sum())
-    chosen = whole & (g >= FEATURE_RATIO) & (toxic >= FEATURE_PRECISION * (toxic + clean))
+    bad = (g >= FEATURE_RATIO) & (toxic >= FEATURE_PRECISION * (toxic + clean))
+    good = g <= -FEATURE_RATIO
+    chosen = whole & (bad | good)
     place = np.cumsum(chosen) - 1
     use = chosen[col]
     w, bias = _logistic(row[use], place[col[use]], n, int(chosen.sum()), q)
-    return {"keys": vocabulary[chosen], "weights": w, "bias": bias, "right": right, "training": n}
+    return {"keys": vocabulary[chosen], "weights": w, "bias": bias, "voters": votes.shape[1], "training": n}
 
 
 # ---- Spark -----------------------------------------------------------------
@@ -243,6 +276,9 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(MOST_TRAINING)
     docs = documents.select(documents[key].cast("bigint").alias("id"), documents[text].cast("string").alias("text"))
     rows = docs.join(F.broadcast(known), "id").select("id", "y", "text")  # MOST_TRAINING rows of 12 bytes
+    # an id that very many rows have must not fill the one fitting task; texts that are alike are one row
+    rows = rows.groupBy("id", "y", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("h"))).filter(F.col("place") <= MOST_ROWS).select("id", "y", "text")
 
     def extract(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offsets = tk.utf8(batch.column(2))
@@ -257,7 +293,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             upto = np.searchsorted(row, np.arange(b - a + 1))
             for k in range(b - a):
                 held[a + k].append(terms[upto[k] : upto[k + 1]])
-        blobs = [(np.unique(np.concatenate(x)) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint64)).tobytes() for x in held]
+        blobs = [_fewest(np.unique(np.concatenate(x)) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint64)).tobytes() for x in held]
+        pairs = [np.unique(np.frombuffer(x, np.uint64).reshape(-1, 2), axis=0)[:MOST_TERMS].tobytes() for x in pairs]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(pairs, pa.binary())], names=["id", "y", "terms", "pairs"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,16 +306,16 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             terms += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], len(terms[k])))
         ids = np.array(ids, np.int64)[order] if ids else np.zeros(0, np.int64)
-        fold = (tk.mix(ids.astype(np.uint64)) & np.uint64(1)).astype(int)
-        m = fit([terms[k] for k in order], np.array(ys, int)[order] if ys else np.zeros(0, int), fold, np.concatenate(pairs))
-        yield pa.record_batch([pa.array([m["keys"].tobytes()]), pa.array([m["weights"].astype("<f8").tobytes()]), pa.array([float(m["bias"])]), pa.array([m["right"].astype("<f8").tobytes()]), pa.array([m["training"]])], names=["keys", "weights", "bias", "right", "training"])
+        part = (tk.mix(ids.astype(np.uint64)) % np.uint64(PARTS)).astype(int)
+        m = fit([terms[k] for k in order], np.array(ys, int)[order] if ys else np.zeros(0, int), part, np.concatenate(pairs))
+        yield pa.record_batch([pa.array([m["keys"].tobytes()]), pa.array([m["weights"].astype("<f8").tobytes()]), pa.array([float(m["bias"])]), pa.array([m["voters"]], pa.int32()), pa.array([m["training"]])], names=["keys", "weights", "bias", "voters", "training"])
 
     gathered = map_arrow(rows, extract, "id bigint, y int, terms binary, pairs binary").repartition(1)
-    got = in_arrow(gathered, learn, "keys binary, weights binary, bias double, right binary, training bigint").collect()
+    got = in_arrow(gathered, learn, "keys binary, weights binary, bias double, voters int, training bigint").collect()
     if not got:
-        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -4.0, "right": np.zeros(0), "training": 0}
+        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -4.0, "voters": 0, "training": 0}
     r = got[0]
-    return {"keys": np.frombuffer(r.keys, np.uint64), "weights": np.frombuffer(r.weights, "<f8"), "bias": r.bias, "right": np.frombuffer(r.right, "<f8"), "training": r.training}
+    return {"keys": np.frombuffer(r.keys, np.uint64), "weights": np.frombuffer(r.weights, "<f8"), "bias": r.bias, "voters": r.voters, "training": r.training}
 
 
 def scored(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

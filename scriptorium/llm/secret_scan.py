@@ -20,6 +20,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.frames import checked_broadcast, materialise
+
 #: Documents of a posting block, about.
 BLOCK_DOCS = 4096
 
@@ -93,7 +95,9 @@ def _walk(items, open_: set[str], found: list) -> set[str]:
         return {""}
 
     def extend(now: set[str], more: set[str]) -> set[str]:
-        return {a + b for a, b in product(now, more)} if len(now) * len(more) <= _MOST_SPELLINGS else {b for b in more if close(now)}
+        if len(now) * len(more) > _MOST_SPELLINGS:
+            now = close(now)
+        return {a + b for a, b in product(now, more)}
 
     for op, value in items:
         if op is sre.LITERAL:
@@ -171,6 +175,27 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], blocks: int) -> DataFra
 # ---- verification ----------------------------------------------------------
 
 
+#: Elements of an array that are folded at once.
+_FOLDED = 256
+
+
+def _folded(items: Column, start: Column, empty: Column, step) -> Column:
+    """The list that step(acc, item) gathers over an array; acc: struct<at, found>, of which step returns the next.
+
+    Runs of _FOLDED items are folded by themselves, and only their lists are
+    appended to the whole, so a very long array is not copied for each item.
+    """
+
+    def run(acc: Column, i: Column) -> Column:
+        part = F.slice(items, i * _FOLDED + 1, F.lit(_FOLDED))
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("found")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["found"], inner["found"]).alias("found"))
+
+    runs = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _FOLDED).cast("int"))
+    whole = F.aggregate(runs, F.struct(start.alias("at"), empty.alias("found")), run, lambda acc: acc["found"])
+    return F.when(F.size(items) > 0, whole).otherwise(empty)
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, kind, end>> of a rule's matches, left to right, none overlapping; code points, end exclusive."""
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -184,9 +209,8 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(size >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
     pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    return F.aggregate(F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["match"].alias("match"))), empty, step, lambda acc: acc["found"])
+    return _folded(pairs, F.lit(0), F.array().cast(f"array<{kind}>"), step)
 
 
 def _quick(rule: Rule) -> str:
@@ -198,20 +222,26 @@ def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc
     """df's columns and `secret_spans`: array<struct<start, rank, kind, end>>, sorted by start, then the rule's place.
 
     A null or empty text has none.  Rows of one key are verified each by its own
-    text.  A column of df that is called secret_spans is replaced.
+    text; a null key is a key.  A column of df that is called secret_spans is
+    replaced; all others stay.
     """
-    df = df.drop("secret_spans", "_k", "_rules")
+    df = df.drop("secret_spans")
     blocks = max(64, -(-df.count() // BLOCK_DOCS))
     docs = df.select(_key(df, key).alias("k"), df[text].cast("string").alias("text"))
-    found = candidates(docs, rules, blocks).select(F.col("k").alias("_k"), F.col("rules").alias("_rules"))
-    joined = df.withColumn("_k", _key(df, key)).join(found, "_k", "left")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    found = materialise(candidates(docs, rules, blocks), "candidates")
+    # few candidates go to the texts, so that no text is shuffled; many are joined by their keys
+    found = checked_broadcast(found, found.count(), 256)
+    names = [f"c{i}" for i in range(len(df.columns))]  # so that no column of df has a name that is used here
+    at = dict(zip(df.columns, names, strict=True))
+    held = df.toDF(*names)
+    joined = held.withColumn("k", _key(held, at[key])).join(found, "k", "left")
+    body = F.coalesce(F.col(at[text]).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     parts = []
     for rank, rule in enumerate(rules):
-        here = F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False)) if trigram_query(rule.pattern) else body.rlike(_quick(rule))
+        here = F.coalesce(F.array_contains("rules", rule.kind), F.lit(False)) if trigram_query(rule.pattern) else body.rlike(_quick(rule))
         parts.append(F.when(here, spans_of(body, rule, rank)).otherwise(none))
-    return joined.withColumn("secret_spans", F.sort_array(F.concat(*parts))).drop("_k", "_rules")
+    return joined.select(*names, F.sort_array(F.concat(*parts)).alias("secret_spans")).toDF(*df.columns, "secret_spans")
 
 
 def _listed(spans: Column) -> Column:
@@ -232,16 +262,23 @@ def redact(df: DataFrame, mask: str = "[SECRET]", key: str = "doc_id", text: str
 
     size: a column that gets the new length of a text that was changed.
     """
-    body = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        grown = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, grown).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))))
-    out = find_secrets(df, RULES, key, text).withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(body))
+    def merged(acc: Column, s: Column) -> Column:
+        # a span that begins before the last ended adds what it has more, as a gap of none
+        start = F.greatest(acc["at"], s["start"])
+        one = F.array(F.struct(acc["at"].alias("from"), start.alias("to"), (s["start"] >= acc["at"]).alias("new")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["found"], one).alias("found"))
+
+    found = find_secrets(df, RULES, key, text)
+    body, spans = F.col(text), F.col("secret_spans")
+    gaps = _folded(spans, F.lit(0), F.array().cast("array<struct<from:int,to:int,new:boolean>>"), merged)
+    # of few gaps each is sought in the text; of many, in its characters, as a search starts at the text's first one
+    letters = F.split(body, "")
+    sought = lambda g: F.substring(body, g["from"] + 1, g["to"] - g["from"])
+    sliced = lambda g: F.array_join(F.slice(letters, g["from"] + 1, g["to"] - g["from"]), "")
+    masked = lambda of: F.array_join(F.transform(F.filter(gaps, lambda g: g["new"]), lambda g: F.concat(of(g), F.lit(mask))), "")
+    rest = F.substring(body, F.array_max(spans["end"]) + 1, F.char_length(body))
+    clean = F.concat(F.when(F.size(spans) <= 64, masked(sought)).otherwise(masked(sliced)), rest)
+    out = found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(body))
     if size:
         out = out.withColumn(size, F.when(F.size("secret_spans") > 0, F.char_length(text).cast(df.schema[size].dataType)).otherwise(F.col(size)))
     return out.drop("secret_spans")

@@ -67,9 +67,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scriptorium.llm.chat_format import format_chats
+    from scriptorium.llm.chat_format import as_tool_chats, format_chats
 
-    return format_chats(table(spark, sf_dir, "conversations"))
+    return format_chats(as_tool_chats(table(spark, sf_dir, "conversations")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,9 @@ def curve_points(vectors: np.ndarray) -> np.ndarray:
     return np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
-def tokenised(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(uid, doc_id, curve, n, ids) of each row; ids: little-endian 16-bit."""
+def tokenised(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text", id_bytes: int = 2) -> DataFrame:
+    """(uid, doc_id, curve, n, ids) of each row; ids: little-endian, of id_bytes bytes; an id that does not fit is an error."""
+    kind = f"<u{id_bytes}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, uid = tokens.encoder(vocabulary, "byte"), TaskContext.get().partitionId() << 36
@@ -78,14 +79,16 @@ def tokenised(df: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id",
                 bucket = (ids * np.uint32(2654435761)) >> np.uint32(22)
                 add = np.bincount(np.repeat(np.arange(rows) * BUCKETS, sizes) + bucket, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
                 vector = vector + add
-                parts.append(ids.astype("<u2"))
+                if len(ids) and int(ids.max()) >> 8 * id_bytes:
+                    raise ValueError(f"id {int(ids.max())} in {id_bytes} bytes: set id_bytes=4")
+                parts.append(ids.astype(kind))
                 if not done:
                     continue
                 ids = np.concatenate(parts)
                 n = sizes.astype(np.int64)
                 n[0] += len(ids) - int(n.sum())
                 curve = hilbert_keys(curve_points(vector), BITS)
-                cuts = np.concatenate([[0], np.cumsum(n)]) * 2
+                cuts = np.concatenate([[0], np.cumsum(n)]) * id_bytes
                 blob = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids.tobytes())])
                 yield pa.record_batch([pa.array(np.arange(uid, uid + rows)), batch.column(0).slice(a, rows), pa.array(curve), pa.array(n), blob.cast(pa.binary())], names=["uid", "doc_id", "curve", "n", "ids"])
                 uid += rows
@@ -117,15 +120,17 @@ def line_starts(rows: DataFrame) -> DataFrame:
     return local.join(F.broadcast(parts), "part").select("uid", (F.col("place") + F.col("ahead")).alias("place"))  # a row for each partition
 
 
-def pack(df: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = False, id_bytes: int = 2) -> DataFrame:
     """Pieces of packed sequences: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     Each id of each row lies in one piece; sequences are full but for the last.
     A null or empty text is its end id; rows of one doc_id are packed each by
     themselves; other columns play no part; an empty table gives no rows.
-    with_ids adds the pieces' ids as little-endian 16-bit integers.
+    with_ids adds the pieces' ids as little-endian integers of id_bytes bytes, 2 or
+    4; vocabularies of more than 65,536 ids need 4.
     """
-    rows = materialise(tokenised(df, vocabulary, end_id, key, text), "ids-z")
+    kind = f"<u{id_bytes}"
+    rows = materialise(tokenised(df, vocabulary, end_id, key, text, id_bytes), "ids-z")
     placed = rows.select("uid", "doc_id", "ids").join(line_starts(rows), "uid")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
@@ -136,7 +141,7 @@ def pack(df: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, ke
             place = batch.column(2).to_numpy()
             blobs = batch.column(1)
             blobs = [memoryview(blobs[k].as_buffer()) for k in range(len(blobs))]
-            n = np.array([len(x) // 2 for x in blobs], np.int64)
+            n = np.array([len(x) // id_bytes for x in blobs], np.int64)
             first, last = place // length, (place + n - 1) // length
             pieces = last - first + 1
             doc = np.repeat(np.arange(len(n)), pieces)
@@ -146,7 +151,7 @@ def pack(df: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, ke
             start = lo - place[doc]
             crc, ids = np.zeros(len(doc), np.int64), []
             for k, (d, s, e) in enumerate(zip(doc.tolist(), start.tolist(), (start + hi - lo).tolist(), strict=True)):
-                x = np.frombuffer(blobs[d], "<u2", e - s, 2 * s)
+                x = np.frombuffer(blobs[d], kind, e - s, id_bytes * s)
                 crc[k] = zlib.crc32(x.astype("<u4").tobytes())
                 if with_ids:
                     ids.append(x.tobytes())

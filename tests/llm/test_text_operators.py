@@ -245,3 +245,66 @@ def test_leaks_are_those_of_an_lcs(spark):
     bench = spark.createDataFrame(list(enumerate(map(" ".join, items))), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert len(want) > 450 and want <= got
+
+
+def test_licences_of_rows_of_one_key_are_told_apart_by_their_texts(spark):
+    rows = [(1, "MIT License\nfoo"), (1, "MIT License foo"), (1, "MIT License\nfoo"), (None, "MIT License"), (2, None), (3, ""), (4, "--- !"), (5, "x\n" * 3000 + "MIT License")]
+    df = spark.createDataFrame([(*r, 7, "z") for r in rows], "doc_id long, text string, digest int, key string")
+    got = sorted(((r.doc_id, r.line_licenses, r.n_license_lines) for r in license_scan.scan_licenses(df).collect()), key=str)
+    want = [(1, "MIT", 1), (1, "", 0), (1, "MIT", 1), (None, "MIT", 1), (2, "", 0), (3, "", 0), (4, "", 0), (5, "MIT", 1)]
+    assert got == sorted(want, key=str)
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_secrets_keep_all_columns_and_many_spans(spark):
+    many = "\U0001f600é " + " ".join(f"token={k:08d}x \U0001f600" for k in range(700)) + " end"
+    df = spark.createDataFrame([(1, many, 1, 2, 3), (2, "é token=abcdefgh z", 1, 2, 3)], "doc_id long, text string, _k int, _rules int, k int")
+    got = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    assert got[1].asDict().keys() == {"doc_id", "text", "_k", "_rules", "k", "secret_spans"} and len(got[1].secret_spans) == 700
+    assert [many[s.start : s.end] for s in got[1].secret_spans] == [f"token={k:08d}x" for k in range(700)]
+    clean = {r.doc_id: r for r in secret_scan.redact(df, "#").collect()}
+    assert clean[1].text == "\U0001f600é " + " ".join("# \U0001f600" for _ in range(700)) + " end" and clean[2].text == "é # z" and clean[1].k == 3
+
+
+def test_label_model_is_that_of_a_plain_fit():
+    rng = np.random.default_rng(5)
+    votes = rng.integers(-1, 2, (80, 5)).astype(float)
+    start = rng.random(80)
+    q, right, weight = toxicity.label_model(votes, start, rounds=6, tied_from=2.0)  # no correlation counts
+    p = start.tolist()
+    for _ in range(6):
+        prior = min(max(sum(p) / 80, 0.001), 0.999)
+        table = {}
+        for j in range(5):
+            for v in (-1, 0, 1):
+                for y in (0, 1):
+                    weights = [x if y else 1 - x for x in p]
+                    table[y, v, j] = (sum(w for w, row in zip(weights, votes) if row[j] == v) + 0.5) / (sum(weights) + 1.5)
+        odds = [np.log(prior / (1 - prior)) + sum(np.log(table[1, row[j], j] / table[0, row[j], j]) for j in range(5)) for row in votes]
+        p = [1 / (1 + np.exp(-o)) for o in odds]
+    sure = [(sum(x if row[j] > 0 else (1 - x) * (row[j] < 0) for x, row in zip(p, votes)) + 0.5) / (sum(row[j] != 0 for row in votes) + 1) for j in range(5)]
+    assert np.allclose(q, p) and np.allclose(weight, 1) and np.allclose(right, sure)
+
+
+def test_label_model_counts_repeated_voters_less():
+    rng = np.random.default_rng(6)
+    y = rng.random(5000) < 0.3
+    say = lambda right: (np.where(rng.random(5000) < right, y, ~y) * 2 - 1).astype(float)
+    echo = say(0.7)
+    votes = np.stack([say(0.85), say(0.85), say(0.85), echo, echo, echo, echo], 1)
+    q, _, weight = toxicity.label_model(votes, (votes.mean(1) + 1) / 2)
+    assert weight[3:].max() < 0.4 < weight[:3].min() and ((q >= 0.5) == y).mean() > 0.9
+
+
+def test_toxicity_of_odd_rows(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 30) + (["idiot"] * (i % 5 == 0)))) for i in range(400)]
+    rows += [(7, rows[7][1])] * 50 + [(7, " ".join(words(rng, 20)))] * 20 + [(None, "idiot"), (None, None), (9000, ""), (9001, "x " * 400_000)]
+    df = spark.createDataFrame([(*r, 1.5, 2) for r in rows], "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(3, 1), (3, 0), (None, 1), (11, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(rows)
+    seven = {r.score for r in got.filter("doc_id = 7").collect()}
+    assert len(seven) <= 21 and got.filter("doc_id is null and held_out").count() == 0
+    one = toxicity.toxicity(df, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert one.filter("predicted = 1").count() == len(rows)

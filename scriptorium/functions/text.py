@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +14,16 @@ TOKEN = r"[\p{L}\p{N}]+"
 SHORT_TERMS = ("ac", "dc", "hp", "xp")
 # Words that a search leaves out
 STOP_WORDS = (
-    "the", "and", "for", "with", "from", "that", "this", "what", "when", "where", "which", "who", "how", "why", "does", "can",
-    "are", "was", "were", "has", "have", "had", "not", "but", "you", "your", "its", "into", "onto", "about", "rule", "rules", "between", "there", "their",
+    "about", "after", "also", "and", "are", "because", "before", "between", "can", "could", "does", "for", "from", "have", "how", "into", "its", "mean", "means",
+    "set", "that", "the", "their", "them", "then", "this", "use", "using", "what", "when", "where", "which", "with", "would", "your",
 )
-# Entities of the two mark-up strippers
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
-NUMBER = r"\b\d+d\d+(?:[+-]\d+)?\b|\b\d+(?:\.\d+)?(?:st|nd|rd|th)?\b"
+# Entities that translations are cleaned of, in order
+TAG_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&apos;", "'"), ("&quot;", '"'))
+# What counts as a number (dice, decimals, ordinals), and what marks private paths
+NUMBER = r"(?Ui)(?<!\w)(?:\d+d\d+(?:\s*[+-]\s*\d+)?|\d+(?:\.\d+)?(?:st|nd|rd|th)?)(?!\w)"
+PRIVATE_PATHS = ("\\users\\", "/home/", "/users/")
+#: What stands for a character in HTML: a number, or a name of at most 32 characters.
+_ENTITY = "&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
 
 
 def tokens(text: Column) -> Column:
@@ -40,24 +48,62 @@ def holds_name(query: Column, name: Column) -> Column:
     return (n != "") & ~single & F.contains(F.concat(F.lit(" "), normal_name(query), F.lit(" ")), F.concat(F.lit(" "), n, F.lit(" ")))
 
 
+def _names() -> str:
+    """The names of HTML's entities (without the ampersand) as a JSON object; those that need no semicolon stand without one too."""
+    return json.dumps(html5)
+
+
+def _point(n: Column) -> Column:
+    """The character of a number, as HTML reads it: Windows' characters for 128 to 159, a mark for what is none."""
+    windows = {0: "\ufffd", 13: "\r"} | {k: bytes([k]).decode("cp1252", "replace").replace("\ufffd", chr(k)) for k in range(128, 160)}
+    table = F.create_map(*[F.lit(x) for pair in windows.items() for x in pair])
+    code = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    none = (n.between(1, 8)) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.coalesce(F.element_at(table, n.cast("int")), F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(none, "").otherwise(code))
+
+
+def unescape(text: Column) -> Column:
+    """HTML's entities to characters, each once: names with a semicolon, some without, numbers."""
+    names = F.from_json(F.lit(_names()), "map<string,string>")
+    digits = lambda e: F.regexp_replace(e, "[^0-9a-fA-F]", "")
+
+    def number(e: Column) -> Column:
+        hexed = e.rlike("^&#[xX]")
+        told = F.when(hexed, F.ltrim(digits(F.substring(e, 4, 100)), F.lit("0"))).otherwise(F.ltrim(digits(e), F.lit("0")))
+        large = F.length(told) > 9
+        ten = F.when(large, F.lit("2147483647")).otherwise(F.concat(F.lit("0"), told))
+        n = F.when(hexed & ~large, F.conv(ten, 16, 10)).otherwise(ten).cast("long")
+        return _point(n)
+
+    def named(e: Column) -> Column:
+        name = F.substring(e, 2, 40)
+        # else the longest beginning that is a name without a semicolon
+        heads = F.transform(F.sequence(F.length(name) - 1, F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), F.element_at(names, F.substring(name, F.lit(1), k)).alias("c")))
+        head = F.get(F.filter(heads, lambda h: h["c"].isNotNull()), F.lit(0))
+        return F.coalesce(F.element_at(names, name), F.concat(head["c"], F.substring(name, head["k"] + 1, F.lit(40))), e)
+
+    between, found = F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    read = F.transform(found, lambda e: F.when(F.startswith(e, F.lit("&#")), number(e)).otherwise(named(e)))
+    glued = F.array_join(F.zip_with(between, read, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), glued).otherwise(text)
+
+
 def strip_html(html: Column) -> Column:
     """Tags to blanks, entities to characters, blanks collapsed."""
-    x = F.regexp_replace(html, "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"(?U)\s+", " "))
 
 
 def strip_tags(html: Column) -> Column:
     """Tags to nothing and a few entities to characters, as translations are cleaned."""
     x = F.regexp_replace(html, "<[^>]+>", "")
-    for name, char in (e for e in ENTITIES if e[0] not in ("&middot;", "&copy;")):
+    for name, char in TAG_ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
-    return F.trim(x)
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(NUMBER), F.lit(0))
+    """Numbers, dice and ordinals, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.lower)
 
 
 def trigrams(words: Column) -> Column:
@@ -85,7 +131,11 @@ def digest(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *cols), 256)
 
 
-def private_marks(text: Column) -> Column:
-    """Names of the kinds of private values in a text, sorted, comma-joined."""
-    kinds = (("at", "@"), ("control", r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("path", r"[A-Za-z]:\\"))
-    return F.concat_ws(",", *[F.when(text.rlike(p), F.lit(k)) for k, p in kinds])
+def private_marks(text: Column, markers: tuple[str, ...] = ()) -> Column:
+    """Names of the kinds of private values in a text, sorted, comma-joined; markers: words that mark one, in lower case."""
+    kinds = [("at", text.rlike("@")), ("control", text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")), ("email", text.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))]
+    low = F.lower(text)
+    home = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in PRIVATE_PATHS])
+    marked = reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in markers], F.lit(False))
+    kinds += [("home", home), ("marker", marked), ("path", text.rlike(r"[A-Za-z]:\\"))]
+    return F.concat_ws(",", *[F.when(hit, F.lit(k)) for k, hit in kinds])

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import coverage, digest, numbers, tokens, trigrams
 
-LENGTHS = ((0, "empty"), (80, "1-80"), (250, "81-250"), (1000, "251-1000"), (4000, "1001-4000"), (7800, "4001-7800"))
+# Lengths that are under a limit, and what the rest is called
+LENGTHS = ((40, "under-40"), (80, "40-79"), (500, "80-499"), (2000, "500-1999"), (5000, "2000-4999"), (10000, "5000-9999"))
+LONGEST = "10000-plus"
 
 
 def duplicate_groups(df: DataFrame, identity: list[Column], key: str) -> DataFrame:
@@ -47,8 +49,8 @@ def containment(items: DataFrame, docs: DataFrame, k: int = 3, least: float = 0.
 def length_bucket(n: Column) -> Column:
     out = None
     for most, name in LENGTHS:
-        out = F.when(n <= most, name) if out is None else out.when(n <= most, name)
-    return out.otherwise("over 7800")
+        out = F.when(n < most, name) if out is None else out.when(n < most, name)
+    return out.otherwise(LONGEST)
 
 
 def whole_total(x: Column, name: str) -> Column:
@@ -70,3 +72,22 @@ def table_digest(df: DataFrame, order: list[str]) -> DataFrame:
     row = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in order]))
     part = F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.sum(part).alias("s"), F.count("*").alias("n")).select(F.sha2(F.concat_ws(":", F.col("s").cast("string"), F.col("n").cast("string")), 256).alias("digest"), "n")
+
+
+def hard_negatives(df: DataFrame, key: str, group: str, level: str, kind: str, k: int) -> DataFrame:
+    """(key, negative, weight): for each row the k best others of its group: weight 10 of its level, 5 of its kind and 3 of others a level away.
+
+    Ties go to the lesser key, and a pair that both its rows chose is the lesser's.
+    A row needs no more than the k + 1 least keys of its level, and of the levels
+    beside it of its kind and of any, so groups are never joined with themselves.
+    """
+    rows = df.select(F.col(key).alias("x"), F.col(group).alias("g"), F.col(level).alias("l"), F.col(kind).alias("t"))
+    least = lambda *by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("x"))).filter(F.col("place") <= k + 1)
+    any_, alike = least("g", "l").select("g", "l", F.col("x").alias("y"), F.col("t").alias("u")), least("g", "l", "t").select("g", "l", "t", F.col("x").alias("y"), F.col("t").alias("u"))
+    beside = rows.withColumn("own", F.col("l")).withColumn("l", F.explode(F.array(F.col("l") - 1, F.col("l"), F.col("l") + 1)))
+    found = beside.join(any_, ["g", "l"]).select("x", "y", "own", "l", "t", "u")
+    found = found.union(beside.filter("l <> own").join(alike, ["g", "l", "t"]).select("x", "y", "own", "l", "t", "u")).filter("x <> y").distinct()
+    weight = F.when(F.col("own") == F.col("l"), 10).when(F.col("t") == F.col("u"), 5).otherwise(3)
+    best = found.withColumn("weight", weight).withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("weight"), "y"))).filter(F.col("place") <= k)
+    once = best.withColumn("place", F.row_number().over(Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy("x"))).filter("place = 1")
+    return once.select(F.col("x").alias(key), F.col("y").alias("negative"), "weight")

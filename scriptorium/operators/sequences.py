@@ -64,3 +64,19 @@ def smallest_box(points: DataFrame, boxes: DataFrame, page: str, x: str, y: str,
     inside = points.join(boxes, page).filter((F.col(x) >= F.col("x0")) & (F.col(x) <= F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) <= F.col("y1")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return inside.groupBy(key).agg(F.min_by("box", F.struct(area.alias("a"), F.col("box").alias("b"))).alias("box"))
+
+
+def global_rank(df: DataFrame, value: str, key: str, name: str = "rank", pieces: int = 64) -> DataFrame:
+    """Adds each row's place, from 1, by falling value, then key, without bringing all rows into one task.
+
+    Rows are dealt into pieces by quantiles of the value (a null value goes last);
+    a row's place is its place in its piece and the rows of the pieces ahead.
+    """
+    limits = sorted(set(df.approxQuantile(value, [i / pieces for i in range(1, pieces)], 0.001)), reverse=True)
+    ahead = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x > F.col(value))) if limits else F.lit(0)
+    held = df.withColumn("_piece", F.when(F.col(value).isNull(), F.lit(len(limits) + 1)).otherwise(ahead))
+    counts = held.groupBy("_piece").agg(F.count("*").alias("_n"))  # a row for each piece
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("_piece").orderBy(F.desc(value), key))
+    return held.withColumn("_place", within).join(F.broadcast(counts), "_piece").withColumn(name, F.col("_place") + F.col("_ahead")).drop("_piece", "_place", "_ahead")

@@ -104,13 +104,13 @@ def containment_top3(spark, sf):
     return C.containment(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
 
-@register("privacy_scan", "SELECT kinds, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN contains(text, '@') THEN 'at' END, CASE WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN 'email' END, CASE WHEN regexp_matches(text, '[A-Za-z]:\\\\') THEN 'path' END) AS kinds FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY kinds")
+@register("privacy_scan", "SELECT kinds, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN contains(text, '@') THEN 'at' END, CASE WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN 'email' END, CASE WHEN contains(lower(text), '\\users\\') OR contains(lower(text), '/home/') OR contains(lower(text), '/users/') THEN 'home' END, CASE WHEN contains(lower(text), 'example.org') THEN 'marker' END, CASE WHEN regexp_matches(text, '[A-Za-z]:\\\\') THEN 'path' END) AS kinds FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY kinds")
 def privacy_scan(spark, sf):
     texts = table(spark, sf, "documents").select("text").union(table(spark, sf, "conversations").select("text"))
-    return texts.groupBy(T.private_marks(F.col("text")).alias("kinds")).agg(F.count("*").alias("n"))
+    return texts.groupBy(T.private_marks(F.col("text"), ("example.org",)).alias("kinds")).agg(F.count("*").alias("n"))
 
 
-_BUCKET = "CASE WHEN length(text) <= 0 THEN 'empty' WHEN length(text) <= 80 THEN '1-80' WHEN length(text) <= 250 THEN '81-250' WHEN length(text) <= 1000 THEN '251-1000' WHEN length(text) <= 4000 THEN '1001-4000' WHEN length(text) <= 7800 THEN '4001-7800' ELSE 'over 7800' END"
+_BUCKET = "CASE WHEN length(text) < 40 THEN 'under-40' WHEN length(text) < 80 THEN '40-79' WHEN length(text) < 500 THEN '80-499' WHEN length(text) < 2000 THEN '500-1999' WHEN length(text) < 5000 THEN '2000-4999' WHEN length(text) < 10000 THEN '5000-9999' ELSE '10000-plus' END"
 
 
 @register("length_buckets", f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM documents GROUP BY 1")
@@ -177,9 +177,9 @@ def integrity_audit(spark, sf):
     return j.agg(F.count("*").alias("rows"), lack("o_orderkey", "no_order"), lack("c_custkey", "no_customer"), lack("n_nationkey", "no_nation"), lack("r_regionkey", "no_region"))
 
 
-@register("table_digest", "SELECT sha256(CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), n_nationkey, n_name, n_regionkey)), 1, 12) AS BIGINT)) AS VARCHAR) || ':' || count(*)) AS digest, count(*) AS n FROM nation")
+@register("table_digest", "SELECT sha256(CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), p_partkey, p_name, p_brand, p_type, p_size)), 1, 12) AS BIGINT)) AS VARCHAR) || ':' || count(*)) AS digest, count(*) AS n FROM part")
 def table_digest(spark, sf):
-    return C.table_digest(table(spark, sf, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    return C.table_digest(table(spark, sf, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
 
 
 @register("repeated_furniture", "SELECT line, count(DISTINCT doc_id) AS documents, count(*) AS times FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) BETWEEN 1 AND 160 GROUP BY line HAVING count(DISTINCT doc_id) >= 2")
@@ -223,10 +223,12 @@ def role_disagreement(spark, sf):
     return a.join(b, "l_orderkey").filter("l_returnflag <> other").select("l_orderkey", "l_returnflag").distinct().groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@register("hard_negative_pairs", "SELECT a.p_partkey, b.p_partkey AS negative, CASE WHEN a.p_size = b.p_size THEN 10 ELSE 3 END AS weight FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1 WHERE a.p_partkey <= 40 QUALIFY row_number() OVER (PARTITION BY a.p_partkey ORDER BY weight DESC, b.p_partkey) <= 2")
+_PAIRS = (
+    "WITH c AS (SELECT a.p_partkey AS x, b.p_partkey AS y, CASE WHEN a.p_size = b.p_size THEN 10 WHEN a.p_type = b.p_type THEN 5 ELSE 3 END AS weight FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 1), "
+    "k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY x ORDER BY weight DESC, y) <= 2) SELECT x AS p_partkey, y AS negative, weight FROM k QUALIFY row_number() OVER (PARTITION BY least(x, y), greatest(x, y) ORDER BY x) = 1"
+)
+
+
+@register("hard_negative_pairs", _PAIRS)
 def hard_negative_pairs(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
-    b = p.select(F.col("p_partkey").alias("negative"), "p_brand", F.col("p_size").alias("size_b"))
-    pairs = p.filter("p_partkey <= 40").join(b, "p_brand").filter("p_partkey <> negative and abs(p_size - size_b) <= 1")
-    pairs = pairs.select("p_partkey", "negative", F.when(F.col("p_size") == F.col("size_b"), 10).otherwise(3).alias("weight"))
-    return R.topk_per_group(pairs, ["p_partkey"], 2, F.desc("weight"), "negative").drop("rank")
+    return C.hard_negatives(table(spark, sf, "part"), "p_partkey", "p_brand", "p_size", "p_type", 2)

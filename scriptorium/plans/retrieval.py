@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from scriptorium.catalogue import register
 from scriptorium.functions import text as T
 from scriptorium.operators import retrieval as R
+from scriptorium.operators import sequences as S
+from scriptorium.operators.index import index_of, name_pass
 from scriptorium.plans.common import table
 
 #: The words that the retrieval queries look for, and the vector that they start from.
@@ -24,8 +26,13 @@ _BM25 = _BM25_SQL.replace("{weight}", "1.0")
 _KNN = "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label, round(sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE))))), 6) AS distance FROM embeddings, q) "
 
 
-def _bm25(spark, sf, k=None, where=None, weight=1.0):
-    return R.bm25(table(spark, sf, "documents"), list(TERMS), "doc_id", {"text": weight}, k, where)
+def _index(spark, sf):
+    return index_of(table(spark, sf, "documents"), "doc_id", ["text"])
+
+
+def _bm25(spark, sf, k=None, where=None):
+    allowed = None if where is None else table(spark, sf, "documents").filter(where)
+    return _index(spark, sf).search(list(TERMS), "doc_id", None, k, allowed)
 
 
 def _query_vector(spark, sf):
@@ -41,11 +48,11 @@ def search_terms(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(T.search_terms(F.col("text")), " ").alias("terms"))
 
 
-@register("name_in_query", "WITH q(qid, q) AS (VALUES (1, 'what does the red brass part do'), (2, 'Fireball'), (3, 'set of steel')), p AS (SELECT DISTINCT p_name FROM part) SELECT qid, count(*) AS n_names FROM q, p WHERE " + " array_to_string(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ' ') <> '' AND contains(' ' || array_to_string(regexp_extract_all(lower(q || ' ' || p_name), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ' ') || ' ') GROUP BY qid")
+@register("name_in_query", "WITH q(qid, q) AS (VALUES (1, 'what does the Red, plate do'), (2, 'is a small widget or a red plate better'), (3, 'old'), (4, 'redplate small-widget')), p AS (SELECT DISTINCT p_name FROM part) SELECT qid, count(*) AS n_names FROM q, p WHERE " + " array_to_string(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ' ') <> '' AND contains(' ' || array_to_string(regexp_extract_all(lower(q), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), ' ') || ' ') GROUP BY qid")
 def name_in_query(spark, sf):
-    asked = spark.createDataFrame([(1, "what does the red brass part do"), (2, "Fireball"), (3, "set of steel")], "qid int, q string")
+    asked = spark.createDataFrame([(1, "what does the Red, plate do"), (2, "is a small widget or a red plate better"), (3, "old"), (4, "redplate small-widget")], "qid int, q string")
     names = table(spark, sf, "part").select("p_name").distinct()
-    both = names.crossJoin(F.broadcast(asked)).withColumn("q", F.concat_ws(" ", "q", "p_name"))
+    both = names.crossJoin(F.broadcast(asked))  # four questions
     return both.filter(T.holds_name(F.col("q"), F.col("p_name"))).groupBy("qid").agg(F.count("*").alias("n_names"))
 
 
@@ -61,7 +68,23 @@ def bm25_filtered(spark, sf):
 
 @register("bm25_name_weighted", "WITH d AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+') AS b FROM part), n AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS av FROM d), t AS (SELECT unnest(['brass', 'red', 'small']) AS t), tf AS (SELECT p_partkey, len(a) + len(b) AS dl, t, len(list_filter(a, lambda x: x = t)) * 10.0 + len(list_filter(b, lambda x: x = t)) * 1.0 AS tf FROM d, t), df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t), s AS (SELECT p_partkey, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS bm25, sum(tf) AS hits FROM tf JOIN df USING (t), n GROUP BY p_partkey) SELECT p_partkey, bm25 FROM s WHERE hits > 0 ORDER BY bm25 DESC, p_partkey LIMIT 20")
 def bm25_name_weighted(spark, sf):
-    return R.bm25(table(spark, sf, "part"), ["brass", "red", "small"], "p_partkey", {"p_name": 10.0, "p_type": 1.0}, 20)
+    return index_of(table(spark, sf, "part"), "p_partkey", ["p_name", "p_type"]).search(["brass", "red", "small"], "p_partkey", [10.0, 1.0], 20)
+
+
+@register("index_postings", f"SELECT term, count(*) AS documents, sum(tf) AS times FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term")
+def index_postings(spark, sf):
+    held = _index(spark, sf).postings
+    return held.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf_0").alias("times"))
+
+
+_ASKED = "which red plate or small widget or plate"
+_ASKED_TERMS = "['red', 'plate', 'small', 'widget']"
+
+
+@register("name_pass", "WITH d AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+') AS b FROM part), n AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS av FROM d), t AS (SELECT unnest(" + _ASKED_TERMS + ") AS t), tf AS (SELECT p_partkey, p_name, a, len(a) + len(b) AS dl, t, len(list_filter(a, lambda x: x = t)) * 10.0 AS tf FROM d, t), df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t), s AS (SELECT p_partkey, p_name, a, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS bm25 FROM tf JOIN df USING (t), n WHERE tf > 0 GROUP BY p_partkey, p_name, a ORDER BY bm25 DESC, p_partkey LIMIT 40) SELECT p_partkey, p_name, bm25 FROM s WHERE contains(' " + _ASKED + " ', ' ' || array_to_string(a, ' ') || ' ')")
+def names_in_query(spark, sf):
+    parts = table(spark, sf, "part")
+    return name_pass(index_of(parts, "p_partkey", ["p_name", "p_type"]), parts, _ASKED, "p_partkey", "p_name", 20)
 
 
 @register("evidence_lexical", _BM25 + "SELECT doc_id, priority, bm25 FROM (SELECT doc_id, 0 AS priority, CAST(NULL AS DOUBLE) AS bm25 FROM documents WHERE doc_id IN (3, 5) UNION ALL SELECT doc_id, 1, bm25 FROM (SELECT * FROM s WHERE hits > 0 AND doc_id NOT IN (3, 5) ORDER BY bm25 DESC, doc_id LIMIT 16)) ORDER BY priority, bm25 DESC, doc_id LIMIT 8")
@@ -86,12 +109,11 @@ def knn_prefilter(spark, sf):
     return _knn(spark, sf, 10, prefilter=F.col("label") == 2).select("vec_id", "distance")
 
 
-@register("knn_batch", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 8), d AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE))))), 6) AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5")
+@register("knn_batch", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, round(sqrt(list_sum(list_transform(range(1, len(q) + 1), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE))))), 6) AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5")
 def knn_batch(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(asked)).withColumn("distance", F.round(R.l2(F.col("embedding"), F.col("q")), 6))
-    return R.topk_per_group(both.select("query_id", "vec_id", "distance"), ["query_id"], 5, "distance", "vec_id")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.knn_batch(vectors, asked, "vec_id", "embedding", "query_id", "q", 5)
 
 
 _FUSE = _KNN + ", " + _BM25.removeprefix("WITH ").replace("d AS (", "dd AS (").replace("FROM d)", "FROM dd)").replace("FROM d,", "FROM dd,") + ", a AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT * FROM d ORDER BY distance, vec_id LIMIT 50)), b AS (SELECT doc_id, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM (SELECT * FROM s WHERE hits > 0 ORDER BY bm25 DESC, doc_id LIMIT 50)), f AS (SELECT doc_id, round(sum(0.5 / (60 + rank)), 4) AS rrf_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id) "
@@ -137,22 +159,22 @@ def rules_boost(spark, sf):
     return _knn(spark, sf, 50).select("vec_id", F.round(F.col("distance") - boost, 6).alias("boosted")).orderBy("boosted", "vec_id").limit(10)
 
 
-@register("era_preference_swap", "WITH r AS (SELECT p_partkey, p_name, p_size % 2 = 0 AS remaster, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 300)), a AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY rank) AS slot, CASE WHEN bool_or(remaster) OVER (PARTITION BY p_name) AND bool_or(NOT remaster) OVER (PARTITION BY p_name) THEN row_number() OVER (PARTITION BY p_name ORDER BY remaster DESC, rank) ELSE row_number() OVER (PARTITION BY p_name ORDER BY rank) END AS want FROM r) SELECT a.p_partkey, CAST(a.rank AS INTEGER) AS rank, CAST(b.rank AS INTEGER) AS place FROM a JOIN a b ON a.p_name = b.p_name AND a.want = b.slot")
+@register("era_preference_swap", "WITH r AS (SELECT p_partkey, p_name, p_size % 2 = 0 AS remaster, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part), a AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY rank) AS slot, CASE WHEN bool_or(remaster) OVER (PARTITION BY p_name) AND bool_or(NOT remaster) OVER (PARTITION BY p_name) THEN row_number() OVER (PARTITION BY p_name ORDER BY remaster DESC, rank) ELSE row_number() OVER (PARTITION BY p_name ORDER BY rank) END AS want FROM r) SELECT a.p_partkey, CAST(a.rank AS BIGINT) AS rank, CAST(b.rank AS BIGINT) AS place FROM a JOIN a b ON a.p_name = b.p_name AND a.want = b.slot")
 def era_preference_swap(spark, sf):
-    top = table(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(300)
-    held = R.ranked(top, F.desc("p_retailprice"), "p_partkey").select("p_partkey", "p_name", (F.col("p_size") % 2 == 0).alias("remaster"), "rank")
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice", (F.col("p_size") % 2 == 0).alias("remaster"))
+    held = S.global_rank(parts, "p_retailprice", "p_partkey").select("p_partkey", "p_name", "remaster", "rank")
     return R.prefer_era(held, "p_name", "rank", "remaster").select("p_partkey", "rank", "place")
 
 
-@register("mrr_eval", "WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark WHERE item_id < 20), t AS (SELECT item_id, unnest(w) AS t FROM b), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS t FROM documents), c AS (SELECT item_id, doc_id, count(*) AS shared FROM t JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM c QUALIFY rank <= 10), e AS (SELECT b.item_id, min(rank) AS rank FROM benchmark b LEFT JOIN (SELECT r.item_id, r.rank, d.text FROM r JOIN documents d USING (doc_id)) x ON x.item_id = b.item_id AND contains(x.text, b.text) WHERE b.item_id < 20 GROUP BY b.item_id) SELECT count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(*) FILTER (WHERE rank = 1) AS perfect, count(*) FILTER (WHERE rank <= 3) AS top3, count(*) FILTER (WHERE rank <= 5) AS top5, count(*) FILTER (WHERE rank IS NULL) AS not_found FROM e")
+@register("mrr_eval", "WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark), t AS (SELECT item_id, unnest(w) AS t FROM b), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS t FROM documents), c AS (SELECT item_id, doc_id, count(*) AS shared FROM t JOIN d USING (t) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM c QUALIFY rank <= 10), e AS (SELECT b.item_id, min(rank) AS rank FROM benchmark b LEFT JOIN (SELECT r.item_id, r.rank, d.text FROM r JOIN documents d USING (doc_id)) x ON x.item_id = b.item_id AND contains(x.text, b.text) GROUP BY b.item_id) SELECT count(*) AS queries, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, count(*) FILTER (WHERE rank = 1) AS perfect, count(*) FILTER (WHERE rank <= 3) AS top3, count(*) FILTER (WHERE rank <= 5) AS top5, count(*) FILTER (WHERE rank IS NULL) AS not_found FROM e")
 def mrr_eval(spark, sf):
-    items = table(spark, sf, "benchmark").filter("item_id < 20")
+    items = table(spark, sf, "benchmark")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     terms = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
-    shared = words.join(F.broadcast(terms), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))  # a query suite of 20
+    words = _index(spark, sf).postings.select(F.col("key").alias("doc_id"), F.col("term").alias("t"))
+    shared = words.join(terms, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     top = R.topk_per_group(shared, ["item_id"], 10, F.desc("shared"), "doc_id")
-    hits = docs.join(F.broadcast(top), "doc_id").join(F.broadcast(items.withColumnRenamed("text", "wanted")), "item_id").filter(F.contains("text", "wanted"))
+    hits = docs.join(top, "doc_id").join(items.withColumnRenamed("text", "wanted"), "item_id").filter(F.contains("text", "wanted"))
     best = items.select("item_id").join(hits.groupBy("item_id").agg(F.min("rank").alias("rank")), "item_id", "left")
     at = lambda k: F.sum((F.coalesce(F.col("rank") <= k, F.lit(False))).cast("int"))
     return best.agg(F.count("*").alias("queries"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), at(1).alias("perfect"), at(3).alias("top3"), at(5).alias("top5"), F.sum(F.col("rank").isNull().cast("int")).alias("not_found"))

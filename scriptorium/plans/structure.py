@@ -40,11 +40,11 @@ def in_degree(spark, sf):
     return G.in_degree(table(spark, sf, "lineitem").select("l_partkey", "l_orderkey"), "l_orderkey", "l_partkey")
 
 
-_IDS = "n AS (SELECT DISTINCT 'L' || l_linenumber || ':' || l_partkey AS id, CAST(l_partkey AS VARCHAR) AS bare FROM lineitem WHERE l_partkey <= 60), e AS (SELECT l_orderkey AS source, CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE 'L' || l_linenumber || ':' || l_partkey END AS target FROM lineitem WHERE l_partkey <= 60)"
+_IDS = "n AS (SELECT DISTINCT 'L' || l_linenumber || ':' || l_partkey AS id, CAST(l_partkey AS VARCHAR) AS bare FROM lineitem), e AS (SELECT l_orderkey AS source, CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE 'L' || l_linenumber || ':' || l_partkey END AS target FROM lineitem)"
 
 
 def _ids(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_partkey <= 60")
+    li = table(spark, sf, "lineitem")
     full = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"), F.lit(":"), F.col("l_partkey").cast("string"))
     nodes = li.select(full.alias("id")).distinct()
     edges = li.select(F.col("l_orderkey").alias("source"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey").cast("string")).otherwise(full).alias("target"))
@@ -57,11 +57,10 @@ def alias_incoming(spark, sf):
     return G.incoming_by_alias(nodes, edges, "id", "target", "source")
 
 
-@register("theta_suffix_join", f"WITH {_IDS}, t AS (SELECT DISTINCT target FROM e WHERE source < 400) SELECT id, count(*) AS n FROM t JOIN n ON n.id = t.target OR n.id LIKE '%:' || t.target GROUP BY id")
+@register("theta_suffix_join", f"WITH {_IDS}, t AS (SELECT DISTINCT target FROM e), m AS (SELECT n.id FROM t JOIN n ON n.id = t.target UNION ALL SELECT n.id FROM t JOIN n ON n.bare = t.target WHERE NOT contains(t.target, ':')) SELECT id, count(*) AS n FROM m GROUP BY id")
 def theta_suffix_join(spark, sf):
     nodes, edges = _ids(spark, sf)
-    targets = edges.filter("source < 400").select("target").distinct()
-    return G.suffix_join(targets, nodes, "target", "id").groupBy("id").agg(F.count("*").alias("n"))
+    return G.suffix_join(edges.select("target").distinct(), nodes, "target", "id").groupBy("id").agg(F.count("*").alias("n"))
 
 
 @register("ambiguous_ids", "SELECT p_name, count(*) AS owners FROM part GROUP BY p_name HAVING count(*) > 1")
@@ -74,6 +73,14 @@ def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
+_TAGS = "replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&apos;', chr(39)), '&quot;', chr(34))"
+
+
+@register("strip_tags", "SELECT page_id, trim(" + _TAGS.format("html") + ", ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
+def strip_tags(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
 @register("extract_links", "SELECT page_id, k - 1 AS pos, l[k] AS target FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages))")
 def extract_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(G.linked(F.col("html"))).alias("pos", "target"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,28 +18,39 @@ from scriptorium.shipping import ship
 def packed_json(spark: SparkSession, path: str, folder: str = "packs") -> DataFrame:
     """(pack, ordinal, entry, error) of every entry of the JSON members `<folder>/*.json` of ZIP archives.
 
-    A member that is no JSON gives one row with its error, and the rest is read;
-    entry is the entry's JSON text, for parse_json or from_json.
+    A member that is no JSON, and an archive that is no ZIP (pack: its name),
+    gives one row with its error, and the rest is read; entry is the entry's JSON
+    text, for parse_json or from_json.
     """
     ship(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(z.namelist()):
-                        parent, _, file = name.rpartition("/")
-                        if not file.endswith(".json") or parent.rpartition("/")[2] != folder or file == "_folders.json":
-                            continue
-                        pack = file.removesuffix(".json")
+    def members(name: str, content: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for member in sorted(z.namelist()):
+                    parent, _, file = member.rpartition("/")
+                    if file.endswith(".json") and parent.rpartition("/")[2] == folder and file != "_folders.json":
                         try:
-                            told = json.loads(z.read(name))
-                            entries = told if isinstance(told, list) else list(told.values()) if all(isinstance(v, dict) for v in told.values()) else [told]
-                            yield pd.DataFrame({"pack": pack, "ordinal": range(len(entries)), "entry": [json.dumps(e, sort_keys=True, ensure_ascii=False) for e in entries], "error": None})
-                        except (ValueError, AttributeError) as e:
-                            yield pd.DataFrame({"pack": [pack], "ordinal": [0], "entry": [None], "error": [str(e)]})
+                            yield file.removesuffix(".json"), z.read(member), None
+                        except (zipfile.BadZipFile, OSError, RuntimeError, zlib.error) as e:
+                            yield file.removesuffix(".json"), None, str(e)
+        except (zipfile.BadZipFile, OSError) as e:
+            yield name, None, str(e)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "pack string, ordinal int, entry string, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                for pack, data, error in members(path.rpartition("/")[2], content):
+                    try:
+                        if data is None:
+                            raise ValueError(error)
+                        told = json.loads(data)
+                        entries = told if isinstance(told, list) else list(told.values()) if all(isinstance(v, dict) for v in told.values()) else [told]
+                        yield pd.DataFrame({"pack": pack, "ordinal": range(len(entries)), "entry": [json.dumps(e, sort_keys=True, ensure_ascii=False) for e in entries], "error": None})
+                    except (ValueError, AttributeError) as e:
+                        yield pd.DataFrame({"pack": [pack], "ordinal": [0], "entry": [None], "error": [str(e)]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "pack string, ordinal int, entry string, error string")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -33,12 +33,19 @@ def publish(df: DataFrame, root: str, checks: dict[str, Callable[[DataFrame], bo
     out = fs.create(fresh, True)
     out.writeBytes(version)
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(fresh, target)
+    _renamed(spark, fresh, target)
     return version
 
 
+def _renamed(spark: SparkSession, old, new) -> None:
+    """One step that puts `old` in the place of `new`: a reader finds the one or the other, never none."""
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    overwrite = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(new.getFileSystem(sc._jsc.hadoopConfiguration()).getUri(), sc._jsc.hadoopConfiguration()).rename(old, new, overwrite)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     version = spark.read.text(f"{root}/CURRENT").first().value
     return spark.read.parquet(f"{root}/v={version}")

@@ -56,3 +56,30 @@ def test_sql_is_bounded_and_read_only(spark):
     for bad in ("DROP VIEW numbers", "CREATE TABLE t AS SELECT 1", "WITH x AS (SELECT 1) INSERT INTO numbers SELECT * FROM x"):
         with pytest.raises(sqlapi.NotReadOnly):
             sqlapi.query(spark, bad)
+
+
+def test_sql_refuses_code_files_and_unknown_relations(spark):
+    spark.range(5).createOrReplaceTempView("numbers")
+    for bad in (
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.Math', 'abs', -1)", "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`",
+        "SELECT (SELECT reflect('java.lang.System', 'nanoTime')) FROM numbers", "WITH x AS (SELECT input_file_name() AS f FROM numbers) SELECT * FROM x", "SELECT * FROM range(10)", "SELECT * FROM nowhere",
+        "SELECT TRANSFORM(id) USING 'cat' FROM numbers",
+    ):
+        with pytest.raises(sqlapi.NotReadOnly):
+            sqlapi.query(spark, bad)
+    rows, more = sqlapi.query(spark, "WITH x AS (SELECT id, id % 2 AS odd FROM numbers) SELECT odd, count(*) AS n, sum(id) AS s FROM x WHERE id IN (SELECT id FROM numbers) GROUP BY odd ORDER BY odd")
+    assert rows == [{"odd": 0, "n": 3, "s": 6}, {"odd": 1, "n": 2, "s": 4}] and not more
+
+
+def test_sql_stops_at_its_deadline(spark):
+    spark.range(60_000).createOrReplaceTempView("many")
+    with pytest.raises(sqlapi.TooLong):
+        sqlapi.query(spark, "SELECT count(*) AS n FROM many a JOIN many b ON a.id + b.id > sqrt(a.id * b.id) + 3", seconds=1.0)
+
+
+def test_a_broken_archive_is_a_row(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("packs/feats.json", json.dumps([{"name": "A"}]))
+    (tmp_path / "b.zip").write_bytes(b"no archive")
+    rows = readers.packed_json(spark, str(tmp_path / "*.zip")).collect()
+    assert sorted((r.pack, r.error is None) for r in rows) == [("b.zip", False), ("feats", True)]

@@ -106,15 +106,20 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.lower)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed once, however often fn names it (in a lambda, too)."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def trigrams(words: Column) -> Column:
     """Sets of three words in a row."""
-    n = F.size(words)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))))
+    three = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    return let(words, lambda w: F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(three(w)))
 
 
 def coverage(part: Column, whole: Column) -> Column:
     """Share of a set that another holds."""
-    return F.size(F.array_intersect(part, whole)) / F.greatest(F.lit(1), F.size(F.array_distinct(part)))
+    return let(part, lambda p: F.size(F.array_intersect(p, whole)) / F.greatest(F.lit(1), F.size(F.array_distinct(p))))
 
 
 def slug(text: Column, most: int = 80, default: str = "section") -> Column:

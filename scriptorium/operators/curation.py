@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import coverage, digest, numbers, tokens, trigrams
+from scriptorium.functions.text import coverage, digest, let, numbers, tokens, trigrams
 
 # Lengths that are under a limit, and what the rest is called
 LENGTHS = ((40, "under-40"), (80, "40-79"), (500, "80-499"), (2000, "500-1999"), (5000, "2000-4999"), (10000, "5000-9999"))
@@ -26,22 +26,27 @@ def duplicate_groups(df: DataFrame, identity: list[Column], key: str) -> DataFra
 def containment(items: DataFrame, docs: DataFrame, k: int = 3, least: float = 0.6) -> DataFrame:
     """(item_id, doc_id, token_coverage, trigram_coverage, numeric_coverage, rank): the k documents that cover an item's words best.
 
-    Documents are candidates when they hold one of the item's rarest words, so
-    many that a document without any of them covers less than `least`: of n
-    words, n - m + 1 where m are needed.  No candidate is lost, however frequent
-    the words are, and the most frequent make no pairs.
+    Documents are candidates when they hold enough of the item's rarest words: of
+    n words of which m are needed, 1 + e of the n - m + 1 + e rarest, e being a
+    fifth of n.  A document with fewer covers less than `least`, so no candidate
+    is lost, however frequent the words are, and the most frequent make no pairs.
     """
     i = items.select("item_id", tokens(F.col("text")).alias("iw"), numbers(F.col("text")).alias("inum"))
     d = docs.select("doc_id", tokens(F.col("text")).alias("dw"), numbers(F.col("text")).alias("dnum"))
     asked = i.select("item_id", F.xxhash64("iw").alias("row"), F.size(F.array_distinct("iw")).alias("n"), F.explode(F.array_distinct("iw")).alias("t")).distinct()
-    held = d.select("doc_id", F.explode(F.array_distinct("dw")).alias("t")).join(F.broadcast(asked.select("t").distinct()), "t", "left_semi")
-    times = held.groupBy("t").agg(F.count("*").alias("times"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
+    times = held.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("times"))
     rarest = F.row_number().over(Window.partitionBy("item_id", "row").orderBy(F.coalesce("times", F.lit(0)), "t"))
     needed = F.greatest(F.lit(1), F.ceil((least - 1e-6) * F.col("n")))  # coverage is rounded to 6 places
-    chosen = asked.join(times, "t", "left").withColumn("place", rarest).filter(F.col("place") <= F.col("n") - needed + 1)
-    pairs = held.join(chosen.select("item_id", "t").distinct(), "t").select("item_id", "doc_id").distinct()
+    # a document may lack n - needed words; of that many and 1 + more it holds 1 + more
+    asked = asked.withColumn("more", F.least(F.floor(F.col("n") * 0.2), needed - 1)).withColumn("many", F.col("n") - needed + 1 + F.col("more"))
+    chosen = asked.join(times, "t", "left").withColumn("place", rarest).filter(F.col("place") <= F.col("many"))
+    met = held.join(chosen.select("item_id", "row", "t", "more"), "t").groupBy("item_id", "row", "doc_id", "more").agg(F.count("*").alias("c"))
+    pairs = met.filter(F.col("c") > F.col("more")).select("item_id", "doc_id").distinct()
     both = d.join(pairs, "doc_id").join(i, "item_id")
-    both = both.select("item_id", "doc_id", F.round(coverage(F.col("iw"), F.col("dw")), 6).alias("token_coverage"), F.round(coverage(trigrams(F.col("iw")), trigrams(F.col("dw"))), 6).alias("trigram_coverage"), F.round(coverage(F.col("inum"), F.col("dnum")), 6).alias("numeric_coverage")).filter(F.col("token_coverage") >= least)
+    measures = let(F.col("iw"), lambda a: let(F.col("dw"), lambda b: F.struct(F.round(coverage(a, b), 6).alias("token_coverage"), F.round(coverage(trigrams(a), trigrams(b)), 6).alias("trigram_coverage"))))
+    both = both.select("item_id", "doc_id", measures.alias("m"), F.round(coverage(F.col("inum"), F.col("dnum")), 6).alias("numeric_coverage"))
+    both = both.select("item_id", "doc_id", "m.token_coverage", "m.trigram_coverage", "numeric_coverage").filter(F.col("token_coverage") >= least)
     order = Window.partitionBy("item_id").orderBy(F.desc("token_coverage"), F.desc("trigram_coverage"), "doc_id")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -1,3 +1,3 @@
 """Queries over the tables, by theme; importing this package registers them all."""
 
-from scriptorium.plans import curation, retrieval, structure  # noqa: F401
+from scriptorium.plans import coverage, curation, retrieval, structure  # noqa: F401

@@ -9,6 +9,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import curation as C
 from scriptorium.operators import retrieval as R
 from scriptorium.plans.common import table
+from scriptorium.plans.coverage import _NUMBERS, _TRIGRAMS
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
@@ -87,13 +88,11 @@ def anti_shadow(spark, sf):
     return table(spark, sf, "documents").join(shadows, "doc_id", "left_anti").select("doc_id", "lang")
 
 
-_TRI = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2]))"
-_NUM = r"regexp_extract_all(lower({}), '\b\d+d\d+(?:[+-]\d+)?\b|\b\d+(?:\.\d+)?(?:st|nd|rd|th)?\b')"
 _CONTAIN = (
-    "WITH i AS (SELECT item_id, " + _TOK.format("text") + " AS iw, " + _NUM.format("text") + " AS inum FROM benchmark), d AS (SELECT doc_id, " + _TOK.format("text") + " AS dw, " + _NUM.format("text") + " AS dnum FROM documents), "
-    "a AS (SELECT item_id, unnest(list_distinct(iw)) AS t FROM i), h AS (SELECT doc_id, unnest(list_distinct(dw)) AS t FROM d), r AS (SELECT t FROM h GROUP BY t HAVING count(*) <= 500), "
-    "p AS (SELECT DISTINCT item_id, doc_id FROM a JOIN h USING (t) JOIN r USING (t)), "
-    "c AS (SELECT item_id, doc_id, round(len(list_intersect(iw, dw)) / greatest(1, len(list_distinct(iw))), 6) AS token_coverage, round(len(list_intersect(" + _TRI.format("iw") + ", " + _TRI.format("dw") + ")) / greatest(1, len(" + _TRI.format("iw") + ")), 6) AS trigram_coverage, "
+    "WITH i AS (SELECT item_id, " + _TOK.format("text") + " AS iw, " + _NUMBERS.format("text") + " AS inum FROM benchmark), d AS (SELECT doc_id, " + _TOK.format("text") + " AS dw, " + _NUMBERS.format("text") + " AS dnum FROM documents), "
+    "a AS (SELECT item_id, unnest(list_distinct(iw)) AS t FROM i), h AS (SELECT doc_id, unnest(list_distinct(dw)) AS t FROM d), "
+    "p AS (SELECT item_id, doc_id FROM a JOIN h USING (t) JOIN i USING (item_id) GROUP BY item_id, doc_id, len(list_distinct(iw)) HAVING round(count(*) / greatest(1, len(list_distinct(iw))), 6) >= 0.6), "
+    "c AS (SELECT item_id, doc_id, round(len(list_intersect(iw, dw)) / greatest(1, len(list_distinct(iw))), 6) AS token_coverage, round(len(list_intersect(" + _TRIGRAMS.format("iw") + ", " + _TRIGRAMS.format("dw") + ")) / greatest(1, len(" + _TRIGRAMS.format("iw") + ")), 6) AS trigram_coverage, "
     "round(len(list_intersect(inum, dnum)) / greatest(1, len(list_distinct(inum))), 6) AS numeric_coverage FROM p JOIN i USING (item_id) JOIN d USING (doc_id)) "
     "SELECT item_id, doc_id, token_coverage, trigram_coverage, numeric_coverage, CAST(row_number() OVER (PARTITION BY item_id ORDER BY token_coverage DESC, trigram_coverage DESC, doc_id) AS INTEGER) AS rank FROM c WHERE token_coverage >= 0.6 QUALIFY rank <= 3"
 )

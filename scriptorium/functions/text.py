@@ -78,7 +78,7 @@ def unescape(text: Column) -> Column:
     def named(e: Column) -> Column:
         name = F.substring(e, 2, 40)
         # else the longest beginning that is a name without a semicolon
-        heads = F.transform(F.sequence(F.length(name) - 1, F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), F.element_at(names, F.substring(name, F.lit(1), k)).alias("c")))
+        heads = F.transform(F.sequence(F.length(name) - 1, F.lit(1), F.lit(-1)), lambda k: F.named_struct(F.lit("k"), k, F.lit("c"), F.element_at(names, F.substring(name, F.lit(1), k))))
         head = F.get(F.filter(heads, lambda h: h["c"].isNotNull()), F.lit(0))
         return F.coalesce(F.element_at(names, name), F.concat(head["c"], F.substring(name, head["k"] + 1, F.lit(40))), e)
 

@@ -19,6 +19,8 @@ from scriptorium.sources.shared import derived, state_of
 #: Constants of BM25, and buckets of terms.
 K1, B = 1.2, 0.75
 BUCKETS = 32
+#: Goes into the name of a stored index; another layout of postings takes another number.
+LAYOUT = 2
 
 
 def postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -77,7 +79,7 @@ def opened(spark: SparkSession, path: str, fields: list[str]) -> TextIndex:
 def index_of(df: DataFrame, key: str, fields: list[str]) -> TextIndex:
     """The index of a table as it is now: built at its first use, and again when the table's files change."""
     spark = df.sparkSession
-    path = derived(spark, f"index-{state_of(df, key, fields, BUCKETS)}", lambda staging: build(df, key, fields, staging))
+    path = derived(spark, f"index-{state_of(df, key, fields, BUCKETS, LAYOUT)}", lambda staging: build(df, key, fields, staging))
     return opened(spark, path, fields)
 
 

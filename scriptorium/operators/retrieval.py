@@ -131,3 +131,88 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str, que
     both = left.join(right, ["_part", "_block"]).select(query_key, key, "_block", F.round(l2(F.col(vector), F.col(query)), 6).alias("distance"))
     best = topk_per_group(both, [query_key, "_block"], k, "distance", key).drop("rank", "_block")
     return topk_per_group(best, [query_key], k, "distance", key)
+
+
+# ---- embedding, re-ranking and the whole search ------------------------------
+
+_EMBEDDERS: dict[str, tuple] = {}
+
+
+def register_embedder(name: str, factory, query_prefix: str = "", document_prefix: str = "") -> None:
+    """Adds an embedder: factory(dims) gives a function of a text column to array<double>; prefixes go before what is embedded."""
+    _EMBEDDERS[name] = (factory, query_prefix, document_prefix)
+
+
+def embedded(text: Column, dims: int, name: str = "hashing", query: bool = False) -> Column:
+    """A text's vector of length 1 by a registered embedder."""
+    factory, query_prefix, document_prefix = _EMBEDDERS[name]
+    prefix = query_prefix if query else document_prefix
+    return factory(dims)(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))) if prefix else F.coalesce(text, F.lit("")))
+
+
+def _hashing(dims: int):
+    """Each word adds 1 or -1 to one component, by its MD5; made here, so that it travels to executors by value."""
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    def run(batches):
+        import hashlib
+        import re
+
+        import numpy as np
+        import pandas as pd
+
+        word, seen = re.compile(r"[^\W_]+"), {}
+
+        def place(t: str) -> tuple[int, float]:
+            if t not in seen:
+                if len(seen) > 200_000:
+                    seen.clear()
+                d = hashlib.md5(t.encode()).hexdigest()
+                seen[t] = (int(d[:8], 16) % dims, 1.0 if int(d[8], 16) < 8 else -1.0)
+            return seen[t]
+
+        for texts in batches:
+            out = []
+            for text in texts:
+                v = np.zeros(dims)
+                for t in word.findall((text or "").lower()):
+                    at, sign = place(t)
+                    v[at] += sign
+                out.append((v / max(float(np.sqrt(v @ v)), 1e-9)).tolist())
+            yield pd.Series(out)
+
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(run, ArrayType(DoubleType()))
+    return lambda text: udf(text)
+
+
+register_embedder("hashing", _hashing)
+
+
+def lexical_score(query_terms: Column, text: Column) -> Column:
+    """The default re-ranker's score: the share of a query's terms that a text has."""
+    return F.size(F.array_intersect(query_terms, tokens(text))) / F.greatest(F.lit(1), F.size(query_terms))
+
+
+def clamped(value: int, least: int, most: int) -> int:
+    return max(least, min(int(value), most))
+
+
+def hybrid(semantic: DataFrame, lexical: DataFrame, docs: DataFrame, key: str, text: str, query_terms: Column, k: int, references: str, weight: float = 0.25, explicit: Column | None = None, candidates: int = 50) -> DataFrame:
+    """(key, rrf_score, rerank_score, adjusted, confidence, place): fused lists, re-ranked, blended with references, named rows first.
+
+    semantic, lexical: ranked lists (key, rank).  The pool is `candidates` rows, of
+    which k leave; a named row stays in it whatever its score.
+    """
+    k, candidates = clamped(k, 1, 20), clamped(candidates, 1, 100)
+    fused = rrf([(semantic, 0.5), (lexical, 0.5)], key)
+    pool = docs.join(F.broadcast(fused), key)  # two lists of `candidates` rows at most
+    pool = promote(pool, F.lit(False) if explicit is None else explicit, candidates, F.desc("rrf_score"), key).drop("place")
+    scored = softmax(pool.withColumn("_s", lexical_score(query_terms, F.col(text))), "_s")
+    blended = blend_references(scored, "rerank_score", references, weight)
+    out = promote(blended, F.lit(False) if explicit is None else explicit, k, F.desc("adjusted"), F.desc("ref_score"), F.desc("rrf_score"), key)
+    return out.select(key, "rrf_score", "rerank_score", "adjusted", confidence(F.col("rrf_score")).alias("confidence"), "place")

@@ -132,6 +132,34 @@ def rrf_hybrid(spark, sf):
     return docs.join(F.broadcast(_fused(spark, sf)), "doc_id").select("doc_id", "rrf_score", "lang", "source").orderBy(F.desc("rrf_score"), "doc_id").limit(20)  # 100 fused rows at most
 
 
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+
+
+@register(
+    "embed_texts",
+    f"WITH t AS (SELECT item_id, unnest({_TOKENS}) AS t FROM benchmark), v AS (SELECT item_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 32 AS INTEGER) AS dim, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1 ELSE -1 END) AS x FROM t GROUP BY 1, 2), n AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1) SELECT item_id, dim, round(x / n, 6) AS value FROM v JOIN n USING (item_id) WHERE x <> 0",
+)
+def embed_texts(spark, sf):
+    held = table(spark, sf, "benchmark").select("item_id", R.embedded(F.col("text"), 32).alias("v"))
+    return held.select("item_id", F.posexplode("v").alias("dim", "value")).filter("value <> 0").select("item_id", "dim", F.round("value", 6).alias("value"))
+
+
+_POOL = ", pool AS (SELECT doc_id, text, rrf_score, (doc_id * 7) % 11 AS refs, doc_id % 13 = 0 AS named FROM f JOIN documents USING (doc_id) ORDER BY named DESC, rrf_score DESC, doc_id LIMIT 50), "
+
+
+@register(
+    "hybrid_search",
+    _FUSE + _POOL + f"e1 AS (SELECT *, exp(len(list_intersect([{_TERMS_SQL}], {_TOKENS})) / {len(TERMS)}.0) AS x FROM pool), r1 AS (SELECT *, round(x / (SELECT sum(x) FROM e1), 4) AS rerank_score FROM e1), m1 AS (SELECT min(rerank_score) AS lo, max(rerank_score) AS hi, max(refs) AS mr FROM r1), "
+    "z AS (SELECT *, round(0.75 * CASE WHEN hi > lo THEN (rerank_score - lo) / (hi - lo) ELSE 1.0 END + 0.25 * CASE WHEN mr > 0 THEN refs / mr ELSE 0.0 END, 4) AS adjusted, round(CASE WHEN mr > 0 THEN refs / mr ELSE 0.0 END, 4) AS ref_score FROM r1, m1) "
+    "SELECT doc_id, rrf_score, rerank_score, adjusted, CASE WHEN rrf_score > 0.015 THEN 'high' WHEN rrf_score > 0.008 THEN 'medium' ELSE 'low' END AS confidence, CAST(row_number() OVER (ORDER BY named DESC, adjusted DESC, ref_score DESC, rrf_score DESC, doc_id) AS INTEGER) AS place FROM z QUALIFY place <= 20",
+)
+def hybrid_search(spark, sf):
+    semantic = R.ranked(_knn(spark, sf, 50).select(F.col("vec_id").alias("doc_id"), "distance"), "distance", "doc_id").select("doc_id", "rank")
+    lexical = R.ranked(_bm25(spark, sf, 50), F.desc("bm25"), "doc_id").select("doc_id", "rank")
+    docs = table(spark, sf, "documents").select("doc_id", "text", ((F.col("doc_id") * 7) % 11).alias("refs"))
+    return R.hybrid(semantic, lexical, docs, "doc_id", "text", F.array(*map(F.lit, TERMS)), 20, "refs", 0.25, F.col("doc_id") % 13 == 0)
+
+
 @register("confidence_band", _FUSE + "SELECT CASE WHEN rrf_score > 0.015 THEN 'high' WHEN rrf_score > 0.008 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM f GROUP BY 1")
 def confidence_band(spark, sf):
     return _fused(spark, sf).groupBy(R.confidence(F.col("rrf_score")).alias("confidence")).agg(F.count("*").alias("n"))

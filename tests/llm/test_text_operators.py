@@ -308,3 +308,68 @@ def test_toxicity_of_odd_rows(spark):
     assert len(seven) <= 21 and got.filter("doc_id is null and held_out").count() == 0
     one = toxicity.toxicity(df, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
     assert one.filter("predicted = 1").count() == len(rows)
+
+
+def brute_components(texts: list[tuple], n_words: int, percent: int) -> dict[int, int]:
+    """Place in texts to the least key of its component."""
+    sets = []
+    for _, t in texts:
+        w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()]
+        sets.append({tuple(w[i : i + n_words]) for i in range(len(w) - n_words + 1)} or ({tuple(w)} if w else set()))
+    group = list(range(len(texts)))
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            group[top(j)] = top(i)
+    least: dict[int, int] = {}
+    for i, (key, _) in enumerate(texts):
+        least[top(i)] = min(least.get(top(i), key), key)
+    return {i: least[top(i)] for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_duplicates_in_a_family_without_an_original(spark, percent):
+    rng = random.Random(percent)
+    base = words(rng, 130)
+    texts = []
+    for i in range(160):  # many copies that lie about the threshold apart, and chains of small changes
+        w = list(base if i % 4 else texts[rng.randrange(len(texts))][1].split() if texts else base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = rng.choice("xyz") + str(rng.randrange(10**6))
+        texts.append((1000 - i, " ".join(w[: len(w) - rng.randrange(8)])))
+    texts += [(2000, " ".join(base[:88])), (2001, " ".join(base[:84] + words(rng, 40))), (2002, ""), (2003, " ")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 4, percent).collect()}
+    want = brute_components(texts, 4, percent)
+    assert got == {key: want[i] for i, (key, _) in enumerate(texts)}
+
+
+def test_one_of_each_group_also_of_repeated_rows(spark):
+    rng = random.Random(3)
+    a, b = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    rows = [(1, a), (1, a), (2, a), (3, a + " more"), (4, b), (4, b + " x"), (None, b), (None, "alone here"), (5, ""), (5, ""), (6, None), (7, " ".join(words(rng, 50_000)))]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, k int, h int")
+    got = near_dedup.one_of_each(df, 5, 80)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 4, None, 5, 6, 7], key=str)
+    assert near_dedup.one_of_each(df.limit(0), 5, 80).count() == 0
+
+
+def test_low_thresholds_are_refused():
+    assert near_dedup.banding(80) == (72, 8) and near_dedup.banding(60)[1] < 8
+    with pytest.raises(ValueError):
+        near_dedup.banding(5)
+
+
+def test_leaks_of_odd_rows(spark):
+    rng = random.Random(14)
+    item = words(rng, 24)
+    rows = [(1, " ".join(words(rng, 30) + item + words(rng, 30)))] * 3 + [(1, "other text"), (None, " ".join(item)), (2, None), (3, ""), (4, " ".join(words(rng, 60_000) + item)), (5, " ".join(item[:9]))]
+    df = spark.createDataFrame([(*r, 0.5, 9) for r in rows], "doc_id long, text string, cosine double, item_id int")
+    bench = spark.createDataFrame([(0, " ".join(item)), (0, None), (1, ""), (None, "x")], "item_id long, text string")
+    got = decontaminate.leaks(df, bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == sorted([(1, 0), (None, 0), (4, 0)], key=str)

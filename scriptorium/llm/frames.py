@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +98,8 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def _at_exit(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is not None:  # else it was stopped before, and has no file system any more
-        drop_scratch(spark)
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone first; its folder is the cluster's to clear then
+            drop_scratch(spark)
 
 
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, most: int = 32 << 20) -> DataFrame:

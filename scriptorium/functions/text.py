@@ -19,6 +19,8 @@ STOP_WORDS = (
 )
 # Entities that translations are cleaned of, in order
 TAG_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&apos;", "'"), ("&quot;", '"'))
+# Entities that pages are cleaned of where the result is fixed by a list, in order
+PAGE_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 # What counts as a number (dice, decimals, ordinals), and what marks private paths
 NUMBER = r"(?Ui)(?<!\w)(?:\d+d\d+(?:\s*[+-]\s*\d+)?|\d+(?:\.\d+)?(?:st|nd|rd|th)?)(?!\w)"
 PRIVATE_PATHS = ("\\users\\", "/home/", "/users/")
@@ -78,7 +80,7 @@ def unescape(text: Column) -> Column:
     def named(e: Column) -> Column:
         name = F.substring(e, 2, 40)
         # else the longest beginning that is a name without a semicolon
-        heads = F.transform(F.sequence(F.length(name) - 1, F.lit(1), F.lit(-1)), lambda k: F.named_struct(F.lit("k"), k, F.lit("c"), F.element_at(names, F.substring(name, F.lit(1), k))))
+        heads = F.transform(F.when(F.length(name) > 1, F.sequence(F.length(name) - 1, F.lit(1), F.lit(-1))), lambda k: F.named_struct(F.lit("k"), k, F.lit("c"), F.element_at(names, F.substring(name, F.lit(1), k))))
         head = F.get(F.filter(heads, lambda h: h["c"].isNotNull()), F.lit(0))
         return F.coalesce(F.element_at(names, name), F.concat(head["c"], F.substring(name, head["k"] + 1, F.lit(40))), e)
 
@@ -93,6 +95,14 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"(?U)\s+", " "))
 
 
+def strip_listed(html: Column) -> Column:
+    """As strip_html, but of entities those of a list alone, with their semicolons, and ASCII blanks alone."""
+    x = F.regexp_replace(html, "<[^>]+>", " ")
+    for name, char in PAGE_ENTITIES:
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(x, r"[\t\n\f\r ]+", " "))
+
+
 def strip_tags(html: Column) -> Column:
     """Tags to nothing and a few entities to characters, as translations are cleaned."""
     x = F.regexp_replace(html, "<[^>]+>", "")

@@ -7,6 +7,8 @@ ever sent around.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,8 +194,8 @@ def _typed(v: Column, kind: str) -> Column:
     return F.filter(F.concat(*parts), lambda x: x != "")
 
 
-def page_chunks(entries: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, name, type, pack, text, source_hash, license, remaster, publication_title) of journals' pages that have text; entries: (pack, ordinal, v)."""
+def page_chunks(entries: DataFrame, names: DataFrame, plain: Callable[[Column], Column] = strip_html) -> DataFrame:
+    """(id, name, type, pack, text, source_hash, license, remaster, publication_title) of journals' pages that have text; entries: (pack, ordinal, v); plain: HTML to text."""
     v = F.col("v")
     journals = entries.filter((F.coalesce(value(v, "type"), F.lit("")) == "") & F.try_variant_get(v, "$.pages", "variant").isNotNull() & F.try_variant_get(v, "$.system", "variant").isNull())
     rows = journals.select("pack", v.alias("entry"), F.posexplode(_items(v, "pages")).alias("i", "page"))
@@ -203,7 +205,7 @@ def page_chunks(entries: DataFrame, names: DataFrame) -> DataFrame:
     e = F.col("entry")
     id_ = F.concat("pack", F.lit(":"), value(e, "_id"), F.lit("_page_"), F.col("i").cast("string"))
     rows = rows.select(id_.alias("id"), "pack", F.coalesce(value(e, "name"), F.lit("")).alias("journal"), title.alias("title"), html.alias("html"), entry_hash(e).alias("source_hash"), *[c.alias({"title": "publication"}.get(k, k)) for k, c in publication(e).items()])
-    plain = rewritten(rows.withColumn("plain", strip_html(F.col("html"))), names, "id", "plain").filter(F.trim("plain") != "")
+    plain = rewritten(rows.withColumn("plain", plain(F.col("html"))), names, "id", "plain").filter(F.trim("plain") != "")
     related = links_of(rows, names, "id", "html").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("related"))
     body = F.concat_ws("\n", F.concat(F.lit("Journal: "), "journal"), F.concat(F.lit("Page: "), "title"), F.lit(""), "plain", F.when(F.col("related").isNotNull(), F.concat(F.lit("\nRelated: "), F.array_join("related", ", "))))
     out = plain.join(related, "id", "left")

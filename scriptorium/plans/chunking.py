@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.catalogue import register
+from scriptorium.functions.text import strip_listed
 from scriptorium.operators import chunks as K
 from scriptorium.plans.common import table
 
@@ -79,7 +80,7 @@ def chunk_pages(spark, sf):
     )
     entry = F.to_json(F.struct(F.concat(F.lit("j"), F.col("page_id").cast("string")).alias("_id"), F.col("url").alias("name"), pages.alias("pages")))
     entries = table(spark, sf, "pages").select(F.lit("site").alias("pack"), F.col("page_id").alias("ordinal"), F.parse_json(entry).alias("v"))
-    return K.page_chunks(entries, K.names_of(entries)).select("id", "name", "text")
+    return K.page_chunks(entries, K.names_of(entries), strip_listed).select("id", "name", "text")
 
 
 @register(

@@ -38,3 +38,8 @@ def test_an_entity_of_one_letter_is_text(spark):
 def test_pages_are_cleaned_as_in_sql(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "strip_html", pages=PAGES)
     assert got == want
+
+
+def test_pages_of_journals_are_cleaned_as_in_sql(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "chunk_pages", pages=PAGES)
+    assert got == want

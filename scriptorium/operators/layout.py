@@ -73,12 +73,13 @@ def split_regions(owners: DataFrame, region: str, section: str) -> DataFrame:
     return got.filter("sections between 2 and 3 and _b - _a = sections - 1").select(region, "sections")
 
 
-def cut_sections(blocks: DataFrame, key: str, order: str, size: str, heading: str, most: int = 7800) -> DataFrame:
+def cut_sections(blocks: DataFrame, key: str, order: str, size: str, heading: str, most: int = 7800, by: tuple[str, ...] = ()) -> DataFrame:
     """(key, order, part): a section's blocks in parts of at most `most` characters, of which none ends with its heading alone.
 
-    A section is one heading's blocks; they are folded in order.
+    A section is one heading's blocks; they are folded in order: by the columns
+    `by`, if there are any, as `order` may be a number that these outgrow.
     """
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("n"), F.col(heading).alias("h"))))
+    listed = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"b{i}") for i, c in enumerate(by)], F.col(order).alias("o"), F.col(size).cast("double").alias("n"), F.col(heading).alias("h"))))
     start = F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("held"), F.lit(False).alias("some"), F.lit(False).alias("body"), F.array().cast(f"array<struct<o:{dict(blocks.dtypes)[order]},part:int>>").alias("out"))
 
     def step(s: Column, b: Column) -> Column:

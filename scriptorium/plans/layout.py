@@ -81,8 +81,9 @@ def split_regions(spark, sf):
     "SELECT k AS l_orderkey, o AS place, CAST(part AS INTEGER) AS part FROM s",
 )
 def cut_sections(spark, sf):
-    blocks = table(spark, sf, "lineitem").select("l_orderkey", _order().alias("place"), F.floor(F.col("l_extendedprice") / 8).alias("n"), (F.col("l_linenumber") % 3 == 1).alias("h"))
-    return L.cut_sections(blocks, "l_orderkey", "place", "n", "h")
+    ids = ("l_linenumber", "l_partkey", "l_suppkey")
+    blocks = table(spark, sf, "lineitem").select("l_orderkey", *ids, _order().alias("place"), F.floor(F.col("l_extendedprice") / 8).alias("n"), (F.col("l_linenumber") % 3 == 1).alias("h"))
+    return L.cut_sections(blocks, "l_orderkey", "place", "n", "h", by=ids)
 
 
 @register("page_furniture", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents), f AS (SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(lower(regexp_replace(x, '\\b\\d+\\b', '', 'g')), '[\\p{L}\\p{N}]+'), ' ') AS line FROM l WHERE i < n * 0.12 OR i + 1 > n * 0.88) SELECT line, count(*) AS pages FROM f WHERE line <> '' GROUP BY line HAVING count(*) >= 2")

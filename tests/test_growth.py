@@ -43,3 +43,11 @@ def test_pages_are_cleaned_as_in_sql(spark, tmp_path):
 def test_pages_of_journals_are_cleaned_as_in_sql(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "chunk_pages", pages=PAGES)
     assert got == want
+
+
+def test_sections_are_cut_in_the_order_of_lines_whatever_the_keys(spark, tmp_path):
+    # keys of a million and more pass the place that a number of the line leaves them
+    rows = ", ".join(f"(1, {n}, {6_000_000 - n * 2_000_000}, {n}, {8000.0 * (n + 2)})" for n in (1, 2, 3))
+    lines = f"SELECT k::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, p::BIGINT AS l_partkey, s::BIGINT AS l_suppkey, e::DOUBLE AS l_extendedprice FROM (VALUES {rows}) t(k, n, p, s, e)"
+    got, want = against_sql(spark, tmp_path, "cut_sections", lineitem=lines)
+    assert got == want

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from functools import cache, reduce
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -90,6 +90,20 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), glued).otherwise(text)
 
 
+@cache
+def _single_upper() -> dict[str, str]:
+    """Characters whose upper case is more than one, and what stands for each where a character gives one."""
+    many = [c for c in map(chr, range(0x110000)) if len(c.upper()) > 1]
+    return {c: "\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in many}
+
+
+def upper_each(text: Column) -> Column:
+    """Upper case of as many characters as the text has, as SQL gives it: a sharp s is not two letters."""
+    single = F.create_map(*[F.lit(x) for pair in _single_upper().items() for x in pair])
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(single, c), F.upper(c))), "")
+    return F.when(text.rlike(f"[{''.join(_single_upper())}]"), each).otherwise(F.upper(text))
+
+
 def strip_html(html: Column) -> Column:
     """Tags to blanks, entities to characters, blanks collapsed."""
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"(?U)\s+", " "))

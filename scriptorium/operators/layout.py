@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,17 @@ ROLES = ("authors", "designers", "developers", "editors", "art director")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
-def is_heading(text: Column, size: Column, fonts: Column, body: Column, strict: bool = True) -> Column:
+def is_heading(text: Column, size: Column, fonts: Column, body: Column, strict: bool = True, upper: Callable[[Column], Column] = F.upper) -> Column:
     """Whether a line is a heading by its type: much larger than the body, mostly bold and larger, or capitals.
 
-    strict: capitals count only where they are bold and display-sized too.
+    strict: capitals count only where they are bold and display-sized too; upper:
+    what makes capitals of a text.
     """
     holds = lambda names: lambda f: F.lower(f).rlike("|".join(names))
     n = F.greatest(F.size(fonts), F.lit(1))
     bold = F.size(F.filter(fonts, holds(BOLD))) / n
     icons = (F.size(fonts) > 0) & (F.size(F.filter(fonts, holds(ICONS))) == F.size(fonts))
-    caps = (F.upper(text) == text) & text.rlike(r"\p{L}") & (F.char_length(text) < 90)
+    caps = (upper(text) == text) & text.rlike(r"\p{L}") & (F.char_length(text) < 90)
     caps = caps & (bold >= 0.8) & (size >= body + 1.5) if strict else caps & (size >= body)
     usable = (F.char_length(text) <= 160) & ~text.rlike(EMAIL) & (F.char_length(F.regexp_replace(text, r"[^\p{L}\p{N}]", "")) >= 3) & ~icons
     return usable & ((size >= body + 2.5) | ((bold >= 0.8) & (size >= body + 0.75)) | caps)

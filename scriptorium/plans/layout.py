@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.catalogue import register
+from scriptorium.functions.text import upper_each
 from scriptorium.operators import layout as L
 from scriptorium.plans.common import table
 
@@ -20,9 +21,9 @@ _BOLD = "(doc_id % 6) / 5.0"
 )
 def heading_kinds(spark, sf):
     first = F.substring_index("text", "\n", 1)
-    text, size = F.when(F.col("doc_id") % 3 == 0, F.upper(first)).otherwise(first), 9.0 + (F.col("doc_id") % 9) * 0.5
+    text, size = F.when(F.col("doc_id") % 3 == 0, upper_each(first)).otherwise(first), 9.0 + (F.col("doc_id") % 9) * 0.5
     fonts = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i < F.col("doc_id") % 6, "Face-SemiBold").otherwise("Face-Roman"))
-    of = lambda strict: L.is_heading(F.col("t"), F.col("size"), F.col("fonts"), F.lit(10.0), strict)
+    of = lambda strict: L.is_heading(F.col("t"), F.col("size"), F.col("fonts"), F.lit(10.0), strict, upper_each)
     return table(spark, sf, "documents").select("doc_id", text.alias("t"), size.alias("size"), fonts.alias("fonts")).select("doc_id", of(True).alias("strict"), of(False).alias("loose"))
 
 

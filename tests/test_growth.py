@@ -51,3 +51,9 @@ def test_sections_are_cut_in_the_order_of_lines_whatever_the_keys(spark, tmp_pat
     lines = f"SELECT k::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, p::BIGINT AS l_partkey, s::BIGINT AS l_suppkey, e::DOUBLE AS l_extendedprice FROM (VALUES {rows}) t(k, n, p, s, e)"
     got, want = against_sql(spark, tmp_path, "cut_sections", lineitem=lines)
     assert got == want
+
+
+def test_capitals_of_headings_are_one_for_each_character(spark, tmp_path):
+    docs = "SELECT (i * 9 + k)::BIGINT AS doc_id, t AS text FROM (VALUES (0, repeat('ß', 60)), (1, repeat('straße ', 12) || chr(10) || 'x'), (2, 'ﬁnale'), (3, 'ŉ Ğ ß ᾀ 12'), (4, ''), (5, 'STRAẞE'), (6, 'ﬁ'), (7, NULL)) t(i, t), range(9) r(k)"
+    got, want = against_sql(spark, tmp_path, "heading_kinds", documents=docs)
+    assert got == want

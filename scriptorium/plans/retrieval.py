@@ -8,7 +8,7 @@ from scriptorium.catalogue import register
 from scriptorium.functions import text as T
 from scriptorium.operators import retrieval as R
 from scriptorium.operators import sequences as S
-from scriptorium.operators.index import index_of, name_pass
+from scriptorium.operators.index import index_of, name_pass, searchable
 from scriptorium.plans.common import table
 
 #: The words that the retrieval queries look for, and the vector that they start from.
@@ -32,7 +32,7 @@ def _index(spark, sf):
 
 def _bm25(spark, sf, k=None, where=None):
     allowed = None if where is None else table(spark, sf, "documents").filter(where)
-    return _index(spark, sf).search(list(TERMS), "doc_id", None, k, allowed)
+    return searchable(table(spark, sf, "documents"), "doc_id", ["text"]).search(list(TERMS), "doc_id", None, k, allowed)
 
 
 def _query_vector(spark, sf):
@@ -68,7 +68,7 @@ def bm25_filtered(spark, sf):
 
 @register("bm25_name_weighted", "WITH d AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+') AS b FROM part), n AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS av FROM d), t AS (SELECT unnest(['brass', 'red', 'small']) AS t), tf AS (SELECT p_partkey, len(a) + len(b) AS dl, t, len(list_filter(a, lambda x: x = t)) * 10.0 + len(list_filter(b, lambda x: x = t)) * 1.0 AS tf FROM d, t), df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t), s AS (SELECT p_partkey, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS bm25, sum(tf) AS hits FROM tf JOIN df USING (t), n GROUP BY p_partkey) SELECT p_partkey, bm25 FROM s WHERE hits > 0 ORDER BY bm25 DESC, p_partkey LIMIT 20")
 def bm25_name_weighted(spark, sf):
-    return index_of(table(spark, sf, "part"), "p_partkey", ["p_name", "p_type"]).search(["brass", "red", "small"], "p_partkey", [10.0, 1.0], 20)
+    return searchable(table(spark, sf, "part"), "p_partkey", ["p_name", "p_type"]).search(["brass", "red", "small"], "p_partkey", [10.0, 1.0], 20)
 
 
 @register("index_postings", f"SELECT term, count(*) AS documents, sum(tf) AS times FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY term")
@@ -84,7 +84,7 @@ _ASKED_TERMS = "['red', 'plate', 'small', 'widget']"
 @register("name_pass", "WITH d AS (SELECT p_partkey, p_name, regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+') AS a, regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+') AS b FROM part), n AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS av FROM d), t AS (SELECT unnest(" + _ASKED_TERMS + ") AS t), tf AS (SELECT p_partkey, p_name, a, len(a) + len(b) AS dl, t, len(list_filter(a, lambda x: x = t)) * 10.0 AS tf FROM d, t), df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t), s AS (SELECT p_partkey, p_name, a, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS bm25 FROM tf JOIN df USING (t), n WHERE tf > 0 GROUP BY p_partkey, p_name, a ORDER BY bm25 DESC, p_partkey LIMIT 40) SELECT p_partkey, p_name, bm25 FROM s WHERE contains(' " + _ASKED + " ', ' ' || array_to_string(a, ' ') || ' ')")
 def names_in_query(spark, sf):
     parts = table(spark, sf, "part")
-    return name_pass(index_of(parts, "p_partkey", ["p_name", "p_type"]), parts, _ASKED, "p_partkey", "p_name", 20)
+    return name_pass(searchable(parts, "p_partkey", ["p_name", "p_type"]), parts, _ASKED, "p_partkey", "p_name", 20)
 
 
 @register("evidence_lexical", _BM25 + "SELECT doc_id, priority, bm25 FROM (SELECT doc_id, 0 AS priority, CAST(NULL AS DOUBLE) AS bm25 FROM documents WHERE doc_id IN (3, 5) UNION ALL SELECT doc_id, 1, bm25 FROM (SELECT * FROM s WHERE hits > 0 AND doc_id NOT IN (3, 5) ORDER BY bm25 DESC, doc_id LIMIT 16)) ORDER BY priority, bm25 DESC, doc_id LIMIT 8")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,6 +41,34 @@ def state_of(df: DataFrame, *extra: object) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files that df reads."""
+    return sum(fs.getFileStatus(p).getLen() for fs, p in (_fs(df.sparkSession, name) for name in df.inputFiles()))
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again; its folder is deleted when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scriptorium-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else it was stopped before, and has no file system any more
+        with contextlib.suppress(Py4JError, OSError):
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+
+
+def published(spark: SparkSession, name: str) -> str | None:
+    """The folder of a derived table, if it was made."""
+    path = f"{shared_dir(spark)}/scriptorium-derived/{name}"
+    fs, p = _fs(spark, path)
+    return path if fs.exists(p) else None
+
+
 def derived(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     """The folder of a derived table; `write` makes it in a staging folder if it is not there, and a rename publishes it whole."""
     path = f"{shared_dir(spark)}/scriptorium-derived/{name}"

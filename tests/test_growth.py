@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium import catalogue
 from scriptorium.functions import text
 from scriptorium.operators import curation as C
+from scriptorium.operators import index
 from scriptorium.operators import sequences as S
 
 
@@ -96,3 +97,31 @@ def test_hard_negatives_move_few_rows(spark):
         near = sorted((-(10 if a.l == b.l else 5 if a.t == b.t else 3), b.k) for b in few.itertuples() if a.k != b.k and a.g == b.g and abs(a.l - b.l) <= 1)[:2]
         want |= {(min(a.k, k), max(a.k, k), -w) for w, k in near}
     assert {(min(r.k, r.negative), max(r.k, r.negative), r.weight) for r in C.hard_negatives(parts.filter("k < 300"), "k", "g", "l", "t", 2).collect()} == want
+
+
+def test_a_search_of_a_table_without_an_index_reads_it_and_builds_none(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    rows = [(i, f"red plate {'widget ' * (i % 4)}x{i}", "Red" if i % 3 else None) for i in range(60)] + [(60, None, None), (61, "", "plate")]
+    spark.createDataFrame(rows, "id long, a string, b string").write.parquet(path)
+    df = spark.read.parquet(path)
+    asked = {"terms": ["red", "widget", "x7", "none"], "key": "id", "weights": [10.0, 1.0]}
+    scan = index.searchable(df, "id", ["a", "b"])
+    assert isinstance(scan, index.TextScan)
+    got, few = sorted(scan.search(**asked).collect()), scan.search(**asked, k=5, allowed=df.filter("id > 30")).collect()
+    assert isinstance(index.searchable(df, "id", ["a", "b"]), index.TextScan)
+    built = index.index_of(df, "id", ["a", "b"])
+    assert isinstance(index.searchable(df, "id", ["a", "b"]), index.TextIndex)
+    assert got == sorted(built.search(**asked).collect()) and len(got) == 60
+    assert few == built.search(**asked, k=5, allowed=df.filter("id > 30")).collect()
+
+
+def test_an_index_has_more_pieces_for_a_larger_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t.parquet")
+    spark.range(4000).select("id", F.concat(F.lit("the x"), (F.col("id") % 50).cast("string")).alias("t")).write.parquet(path)
+    df = spark.read.parquet(path)
+    monkeypatch.setattr(index, "PIECE", max(1, index.size_of(df) // 7))
+    index.build(df, "id", ["t"], str(tmp_path / "i"))
+    held = index.opened(spark, str(tmp_path / "i"), ["t"]).postings
+    assert held.filter("term = 'the'").count() == 4000
+    # the postings of a frequent word lie in several files
+    assert held.filter("term = 'the'").select(F.input_file_name()).distinct().count() > 3

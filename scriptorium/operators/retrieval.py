@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokens
+from scriptorium.operators.nearest import nearest
 
 K1, B = 1.2, 0.75
 
@@ -112,25 +113,10 @@ def topk_per_group(df: DataFrame, group: list[str], k: int, *order: Column | str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
 
 
-#: Vectors and queries of a block, about.
-KNN_BLOCK = 4096
-
-
 def knn_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query: str, k: int) -> DataFrame:
-    """(query_key, key, distance, rank): each query's k nearest vectors by L2.
-
-    Queries and vectors are dealt into blocks; a block of queries meets each block
-    of vectors in one task, and only its k best leave it.
-    """
-    n, asked = vectors.count(), queries.count()
-    parts, blocks = -(-asked // KNN_BLOCK) or 1, -(-n // KNN_BLOCK) or 1
-    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.select(query_key, query, dealt(query_key, parts).alias("_part"), every(blocks).alias("_block"))
-    right = vectors.select(key, vector, dealt(key, blocks).alias("_block"), every(parts).alias("_part"))
-    both = left.join(right, ["_part", "_block"]).select(query_key, key, "_block", F.round(l2(F.col(vector), F.col(query)), 6).alias("distance"))
-    best = topk_per_group(both, [query_key, "_block"], k, "distance", key).drop("rank", "_block")
-    return topk_per_group(best, [query_key], k, "distance", key)
+    """(query_key, key, distance, rank): each query's k nearest vectors by L2; keys are whole numbers."""
+    near = nearest(vectors, queries, key, vector, query_key, query, k).withColumn("distance", F.round("distance", 6))
+    return topk_per_group(near, [query_key], k, F.asc_nulls_last("distance"), key)
 
 
 # ---- embedding, re-ranking and the whole search ------------------------------

@@ -9,7 +9,9 @@ from scriptorium.functions import text as T
 from scriptorium.operators import retrieval as R
 from scriptorium.operators import sequences as S
 from scriptorium.operators.index import index_of, name_pass, searchable
+from scriptorium.operators.nearest import most_shared
 from scriptorium.plans.common import table
+from scriptorium.sources.shared import materialised
 
 #: The words that the retrieval queries look for, and the vector that they start from.
 TERMS = ("that", "idiot", "heed", "ation", "blethe")
@@ -198,10 +200,9 @@ def era_preference_swap(spark, sf):
 def mrr_eval(spark, sf):
     items = table(spark, sf, "benchmark")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    terms = items.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("t"))
-    words = _index(spark, sf).postings.select(F.col("key").alias("doc_id"), F.col("term").alias("t"))
-    shared = words.join(terms, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    top = R.topk_per_group(shared, ["item_id"], 10, F.desc("shared"), "doc_id")
+    words = F.array_distinct(T.tokens(F.col("text"))).alias("words")
+    top = R.topk_per_group(most_shared(docs.select("doc_id", words), items.select("item_id", words), 10), ["item_id"], 10, F.desc("shared"), "doc_id")
+    top = materialised(top, "shared")  # ten rows of each item; known to be few, they are sent to the documents
     hits = docs.join(top, "doc_id").join(items.withColumnRenamed("text", "wanted"), "item_id").filter(F.contains("text", "wanted"))
     best = items.select("item_id").join(hits.groupBy("item_id").agg(F.min("rank").alias("rank")), "item_id", "left")
     at = lambda k: F.sum((F.coalesce(F.col("rank") <= k, F.lit(False))).cast("int"))

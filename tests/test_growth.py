@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import math
 import os
+import random
 
 import duckdb
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from scriptorium import catalogue
 from scriptorium.functions import text
 from scriptorium.operators import curation as C
 from scriptorium.operators import index
+from scriptorium.operators import nearest as N
+from scriptorium.operators import retrieval as R
 from scriptorium.operators import sequences as S
 
 
@@ -125,3 +129,30 @@ def test_an_index_has_more_pieces_for_a_larger_table(spark, tmp_path, monkeypatc
     assert held.filter("term = 'the'").count() == 4000
     # the postings of a frequent word lie in several files
     assert held.filter("term = 'the'").select(F.input_file_name()).distinct().count() > 3
+
+
+def test_nearest_of_many_with_ties_and_odd_vectors(spark):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in range(600)] + [(i, [1.0, 1.0, 1.0]) for i in range(600, 5000)] + [(5000, None), (5001, [1.0]), (5002, [1.0, None, 2.0])]
+    vectors = spark.createDataFrame(rows, "v long, e array<float>").repartition(3)
+    queries = vectors.filter("v % 25 = 0").select(F.col("v").alias("q"), F.col("e").alias("w"))
+    got = {(r.q, r["rank"]): (r.v, r.distance) for r in R.knn_batch(vectors, queries, "v", "e", "q", "w", 4).collect()}
+    held = dict(rows)
+    for q in (v for v in held if v % 25 == 0):
+        whole = lambda x: x is not None and len(x) == 3 and None not in x
+        far = sorted((round(math.dist(held[q], x), 6) if whole(x) and whole(held[q]) else math.inf, v) for v, x in rows)[:4]
+        assert [got[q, n] for n in range(1, 5)] == [(v, None if d == math.inf else d) for d, v in far]
+
+
+def test_items_meet_documents_without_moving_their_pairs(spark):
+    rng = random.Random(6)
+    words = lambda n: sorted({f"w{min(int(rng.expovariate(0.2)), 40)}" for _ in range(n)})
+    docs, items = [(i, words(20)) for i in range(3000)] + [(3000, None), (3001, [])], [(i, words(12)) for i in range(40)] + [(40, None), (41, ["none"])]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, words array<string>")
+    top = R.topk_per_group(N.most_shared(frame(docs, "doc_id").repartition(3), frame(items, "item_id"), 10), ["item_id"], 10, F.desc("shared"), "doc_id")
+    assert moved(spark, top) <= 3002 + 3 * 10 * 42
+    want = {}
+    for i, a in items:
+        best = sorted((-len(set(a or ()) & set(b or ())), d) for d, b in docs)[:10]
+        want |= {(i, n): (d, -s) for n, (s, d) in enumerate(best, 1) if s}
+    assert {(r.item_id, r["rank"]): (r.doc_id, r.shared) for r in top.collect()} == want

@@ -156,3 +156,14 @@ def test_items_meet_documents_without_moving_their_pairs(spark):
         best = sorted((-len(set(a or ()) & set(b or ())), d) for d, b in docs)[:10]
         want |= {(i, n): (d, -s) for n, (s, d) in enumerate(best, 1) if s}
     assert {(r.item_id, r["rank"]): (r.doc_id, r.shared) for r in top.collect()} == want
+
+
+def test_coverage_meets_classes_of_copies_and_not_their_rows(spark, tmp_path):
+    # 2000 copies of a few texts; all pairs of rows would be millions
+    one = lambda i: f"SELECT (k * {i} + {i - 1})::BIGINT AS p_partkey, 'red plate' AS p_name, 'B' AS p_brand, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'tin' ELSE 'Tin' END AS p_type, (k % 4)::INTEGER AS p_size FROM range(1000) t(k)"
+    parts = f"SELECT * FROM ({one(1)}) UNION ALL SELECT p_partkey + 100000, * EXCLUDE (p_partkey) FROM ({one(2)}) UNION ALL SELECT 900000 + i, 'plate red ' || (i % 5), 'B', 'tin', (i % 2)::INTEGER FROM range(40) u(i)"
+    con = duckdb.connect()
+    con.execute(f"COPY ({parts}) TO '{tmp_path}/part.parquet'")
+    assert moved(spark, catalogue.queries()["coverage_candidates"](spark, str(tmp_path))) < 60_000
+    got, want = against_sql(spark, tmp_path, "coverage_candidates", part=f"SELECT * FROM ({parts}) WHERE p_partkey % 9 < 2")
+    assert got == want

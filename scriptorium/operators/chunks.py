@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.expressions import formula_words, path_words, signed
 from scriptorium.functions.templates import filled, lines, strings, there, value
 from scriptorium.functions.text import strip_html
+from scriptorium.sources.shared import materialised
 
 # Sentences of rule elements
 RULES = {
@@ -131,7 +132,8 @@ def names_of(entries: DataFrame) -> DataFrame:
     lent = entries.filter(F.contains(source, F.lit(".Item."))).select(F.substring_index(source, ".Item.", -1).alias("item_id"), F.lit(1).alias("way"), "pack", "ordinal", value(F.col("v"), "name").alias("resolved"))
     # of entries with one identifier the last counts; of those that only lend it, the first
     order = F.struct("way", F.when(F.col("way") == 0, -F.col("ordinal")).otherwise(F.col("ordinal")), "pack")
-    return own.union(lent).filter("item_id is not null and item_id <> ''").groupBy("item_id").agg(F.min_by("resolved", order).alias("resolved"))
+    named = own.union(lent).filter("item_id is not null and item_id <> ''").groupBy("item_id").agg(F.min_by("resolved", order).alias("resolved"))
+    return materialised(named, "names")  # joined several times
 
 
 def _item(uuid: Column) -> Column:
@@ -205,7 +207,8 @@ def page_chunks(entries: DataFrame, names: DataFrame, plain: Callable[[Column],
     e = F.col("entry")
     id_ = F.concat("pack", F.lit(":"), value(e, "_id"), F.lit("_page_"), F.col("i").cast("string"))
     rows = rows.select(id_.alias("id"), "pack", F.coalesce(value(e, "name"), F.lit("")).alias("journal"), title.alias("title"), html.alias("html"), entry_hash(e).alias("source_hash"), *[c.alias({"title": "publication"}.get(k, k)) for k, c in publication(e).items()])
-    plain = rewritten(rows.withColumn("plain", plain(F.col("html"))), names, "id", "plain").filter(F.trim("plain") != "")
+    rows = materialised(rows.withColumn("plain", plain(F.col("html"))), "pages")
+    plain = rewritten(rows, names, "id", "plain").filter(F.trim("plain") != "")
     related = links_of(rows, names, "id", "html").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("related"))
     body = F.concat_ws("\n", F.concat(F.lit("Journal: "), "journal"), F.concat(F.lit("Page: "), "title"), F.lit(""), "plain", F.when(F.col("related").isNotNull(), F.concat(F.lit("\nRelated: "), F.array_join("related", ", "))))
     out = plain.join(related, "id", "left")
@@ -230,6 +233,7 @@ def entry_chunks(entries: DataFrame, names: DataFrame, aliases: DataFrame | None
         level.alias("level"), strings(v, "system.traits.value").alias("traits"), cost.alias("cost"), wanted.alias("wanted"), F.coalesce(value(v, "system.description.value"), F.lit("")).alias("html"),
         F.try_variant_get(v, "$.system", "variant").alias("system"), _items(v, "system.rules").alias("rules"), entry_hash(v).alias("source_hash"), *[c.alias(k) for k, c in publication(v).items()],
     )
+    rows = materialised(rows, "entries")  # an entry is read from its JSON once
     if aliases is not None:
         old = aliases.groupBy(F.lower("new").alias("_new")).agg(F.min(F.lower(F.trim("old"))).alias("old"))
         rows = rows.join(old, F.lower("own_name") == F.col("_new"), "left").drop("_new")
@@ -238,9 +242,9 @@ def entry_chunks(entries: DataFrame, names: DataFrame, aliases: DataFrame | None
     rows = rows.withColumn("name", F.when(F.col("old").isNotNull(), F.concat("own_name", F.lit(" (formerly "), "old", F.lit(")"))).otherwise(F.col("own_name")))
     rules = rows.select("id", F.posexplode("rules").alias("ordinal", "rule"))
     spoken = rules.select("id", "ordinal", rule_text(F.col("rule")).alias("said")).withColumn("row", F.concat_ws("#", "id", "ordinal"))
-    spoken = rewritten(spoken, names, "row", "said", bare=True).select("id", "ordinal", F.trim("said").alias("said")).filter("said <> ''")
+    spoken = rewritten(materialised(spoken, "spoken"), names, "row", "said", bare=True).select("id", "ordinal", F.trim("said").alias("said")).filter("said <> ''")
     spoken = spoken.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "said"))).alias("said"))
-    plain = rewritten(rows.select("id", strip_html(F.col("html")).alias("plain")), names, "id", "plain")
+    plain = rewritten(materialised(rows.select("id", strip_html(F.col("html")).alias("plain")), "plain"), names, "id", "plain")
     related = links_of(rows, names, "id", "html").select("id", "name").union(rule_links(rules, names, "id").select("id", "name"))
     related = related.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("related"))
     out = rows.join(plain, "id", "left").join(spoken, "id", "left").join(related, "id", "left")

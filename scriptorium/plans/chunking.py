@@ -8,6 +8,7 @@ from scriptorium.catalogue import register
 from scriptorium.functions.text import strip_listed
 from scriptorium.operators import chunks as K
 from scriptorium.plans.common import table
+from scriptorium.sources.shared import materialised
 
 _LINK = "'<p>See @UUID[Compendium.x.Item.p' || (p_partkey + 1) || ']{next} &amp; rest</p>'"
 
@@ -30,7 +31,8 @@ def _entries(spark, sf):
     one = lambda x: F.regexp_replace(x, r"\[(\"(?:[^\"\\]|\\.)*\")\]", "$1")
     # lists of one text stand for texts, but for traits, which have two
     entry = F.concat(F.lit('{"_id":"p'), key, F.lit('","name":'), one(F.to_json(F.array("p_name"))), F.lit(',"type":"feat","system":'), one(system), F.lit("}"))
-    return table(spark, sf, "part").select(F.lit("parts").alias("pack"), F.col("p_partkey").alias("ordinal"), F.parse_json(entry).alias("v"))
+    # parts are short and entries long, so parts are dealt to all tasks before
+    return table(spark, sf, "part").repartition("p_partkey").select(F.lit("parts").alias("pack"), F.col("p_partkey").alias("ordinal"), F.parse_json(entry).alias("v"))
 
 
 _CANONICAL = (
@@ -48,7 +50,7 @@ _CANONICAL = (
     "'Source: Book ' || CASE WHEN p_size % 2 = 0 THEN '[remaster] ' ELSE '' END || '(ORC)' AS text FROM n",
 )
 def chunk_entries(spark, sf):
-    entries = _entries(spark, sf)
+    entries = materialised(_entries(spark, sf), "entries")
     return K.entry_chunks(entries, K.names_of(entries)).select("id", "name", "level", "raw_rules_count", "source_hash", "text")
 
 
@@ -58,6 +60,7 @@ def chunk_entries(spark, sf):
 )
 def entry_references(spark, sf):
     entries = _entries(spark, sf)
+    entries = materialised(entries, "entries")
     names, id_ = K.names_of(entries), F.try_variant_get("v", "$._id", "string").alias("item_id")
     rows = entries.select(id_, F.try_variant_get("v", "$.system.description.value", "string").alias("html"))
     rules = entries.select(id_, F.posexplode(F.try_variant_get("v", "$.system.rules", "array<variant>")).alias("ordinal", "rule"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import catalogue
 from scriptorium.functions import text
+from scriptorium.operators import chunks as K
 from scriptorium.operators import curation as C
 from scriptorium.operators import index
 from scriptorium.operators import nearest as N
@@ -167,3 +168,13 @@ def test_coverage_meets_classes_of_copies_and_not_their_rows(spark, tmp_path):
     assert moved(spark, catalogue.queries()["coverage_candidates"](spark, str(tmp_path))) < 60_000
     got, want = against_sql(spark, tmp_path, "coverage_candidates", part=f"SELECT * FROM ({parts}) WHERE p_partkey % 9 < 2")
     assert got == want
+
+
+def test_entries_are_read_from_json_once(spark):
+    parts = spark.range(50).select(F.lit("p").alias("pack"), F.col("id").alias("ordinal"), F.parse_json(F.concat(F.lit('{"_id":"a'), F.col("id"), F.lit('","name":"N'), F.col("id"), F.lit('","type":"feat","system":{"description":{"value":"<p>@UUID[x.Item.a1]</p>"},"rules":[{"key":"GrantItem","uuid":"Compendium.x.Item.a2"}]}}'))).alias("v"))
+    names = K.names_of(parts)
+    chunks = K.entry_chunks(parts, names)
+    # what is joined several times is a table, and no longer made from the JSON each time
+    for df in (names, chunks):
+        assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("parsejson", "parse_json")
+    assert chunks.filter(F.contains("text", F.lit("Grants item: N2")) & F.contains("text", F.lit("Description:\nN1"))).count() == 50

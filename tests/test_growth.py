@@ -178,3 +178,14 @@ def test_entries_are_read_from_json_once(spark):
     for df in (names, chunks):
         assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("parsejson", "parse_json")
     assert chunks.filter(F.contains("text", F.lit("Grants item: N2")) & F.contains("text", F.lit("Description:\nN1"))).count() == 50
+
+
+def test_forms_of_texts_are_made_once(spark, tmp_path):
+    docs = "SELECT i AS doc_id, 'Source: a' || i % 3 || ' b 2d6 + 1, 3rd c ' || repeat('d e ', i % 5) AS text FROM range(30) t(i)"
+    got, want = against_sql(spark, tmp_path, "text_coverage", documents=docs)
+    assert got == want
+    plan = catalogue.queries()["text_coverage"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    words = [f"w{i % 7}" for i in range(40)]
+    got = spark.createDataFrame([(words,), (words[:2],), ([],)], "w array<string>").select(text.trigrams(F.col("w")).alias("t")).collect()
+    assert [r.t for r in got] == [list(dict.fromkeys(" ".join(words[i : i + 3]) for i in range(38))), [], []]
